@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -12,7 +13,8 @@ from catalog import fixtures, oracles, queries
 
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
-    db = duckdb.connect()
+    # Spill outside the working folder.
+    db = duckdb.connect(config={"temp_directory": tempfile.mkdtemp(prefix="spark-duckdb-")})
     for name in fixtures.TABLES:
         db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
     return db
@@ -57,7 +59,7 @@ def main(sf_dir: str, names: list[str]) -> int:
     spark.sparkContext.setLogLevel("ERROR")
     db, bad = connect(sf_dir), 0
     sqls = oracles.oracle_sql()
-    for name in names or queries.QUERIES:
+    for name in names or sqls:
         try:
             same, detail = compare(spark, db, sf_dir, name, sqls[name])
         except Exception as problem:
