@@ -2,13 +2,141 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seedweave.llm import quality_rules
+from seedweave.llm import jaccard_join, mixing, pieces, quality_rules, token_counts, warc
 from seedweave.llm.common import table
+from seedweave.session import path_join, stage_root
+
+# Shares that the mixture should have: the crawl that dominates counts as much
+# as two other sources, two curated ones count more, all others alike.
+MIX_WEIGHTS = {"src0": 2.0, "src1": 1.5, "src2": 1.5}
+MIX_SEED = 17
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared place for written stages."""
+    return path_join(stage_root(spark), f"seedweave-{name}-{uuid.uuid4().hex}")
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    captures = warc.assemble(warc.read_archive(spark, path, keep_payload=False))
+    found = warc.resolve_revisits(captures)
+    is_revisit = F.col("capture.record_type") == "revisit"
+    return found.select(
+        "page_id",
+        F.col("original.payload_bytes").alias("payload_bytes"),
+        F.col("original.payload_sha256").alias("payload_digest"),
+        F.col("capture.record_type").alias("record_type"),
+        F.when(is_revisit, F.col("original.page_id")).alias("refers_to"),
+    )
+
+
+OP2_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS payload_bytes FROM pages
+), f AS (
+  SELECT *, sha256(body) AS payload_digest FROM p
+), g AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM f
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM g
+"""
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    copies = mixing.mixed(table(spark, sf_dir, "documents"), MIX_WEIGHTS, seed=MIX_SEED)
+    return mixing.shuffled(copies, MIX_SEED)
+
+
+OP7_SQL = f"""
+WITH RECURSIVE n AS (
+  SELECT source, count(*) AS n, CASE source {' '.join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in MIX_WEIGHTS.items())} ELSE 1.0::DOUBLE END AS w
+  FROM documents GROUP BY source
+), rates AS (
+  SELECT source, w / (SELECT sum(w) FROM n) * (SELECT sum(n)::DOUBLE FROM n) / n AS mean FROM n
+), terms AS (
+  SELECT source, mean, 0 AS k, exp(-mean) AS term, exp(-mean) AS total FROM rates
+  UNION ALL
+  SELECT source, mean, k + 1, term * mean / (k + 1), total + term * mean / (k + 1) FROM terms WHERE k < 150
+), draws AS (
+  SELECT d.*, CAST('0x' || substr(md5('{MIX_SEED}:' || doc_id), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496 AS u FROM documents d
+), counts AS (
+  SELECT doc_id, count(*) FILTER (WHERE t.total <= u) AS copies
+  FROM draws d JOIN terms t ON d.source IS NOT DISTINCT FROM t.source GROUP BY doc_id
+), copies AS (
+  SELECT doc_id, CAST(copies AS INT) AS copies, CAST(unnest(range(1, copies + 1)) AS INT) AS copy_no FROM counts WHERE copies > 0
+)
+SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, copies, copy_no,
+  md5('order{MIX_SEED}:' || doc_id || ':' || copy_no) AS shuffle_key
+FROM copies JOIN documents d USING (doc_id)
+"""
+
+# Where public tokenizer files lie; SEEDWEAVE_PIECES names another model file.
+PIECE_MODEL = "piece_bpe_32k.model"
+
+
+def piece_model() -> str:
+    import public_tokenizers
+
+    return os.environ.get("SEEDWEAVE_PIECES") or public_tokenizers.path(PIECE_MODEL)
+
+
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"), piece_model())
+
+
+WORDS_VERSION, BYTES_VERSION = "words-1", "bytes4-1"
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five batches, of which two come twice: first counts, a second tokenizer, revised counts, deletions."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rollup = token_counts.TokenRollup(spark, _folder(spark, "token-counts"))
+    text = F.col("text")
+    words = {WORDS_VERSION: token_counts.word_tokens(text)}
+    lines = {WORDS_VERSION: token_counts.word_tokens(text) + F.size(F.split(F.coalesce(text, F.lit("")), "\n", -1)) - 1}
+    toxic = docs.join(labels.where(F.col("toxic") == 1).select("doc_id").distinct(), "doc_id", "left_semi")
+    bad = labels.where(F.col("quality") == 0)
+    batches = {
+        "words": token_counts.counted(docs, words),
+        "bytes": token_counts.counted(docs, {BYTES_VERSION: token_counts.byte_tokens(text)}),
+        "lines-count": token_counts.counted(toxic, lines, "revise"),
+        "low-quality": token_counts.deletions(bad, [WORDS_VERSION, BYTES_VERSION]),
+    }
+    for name in ("words", "bytes", "words", "lines-count", "low-quality", "lines-count"):
+        rollup.apply(name, batches[name])
+    return rollup.totals()
+
+
+OP8_SQL = f"""
+WITH d AS (
+  SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents
+  WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)
+), c AS (
+  SELECT source, lang, '{WORDS_VERSION}' AS version,
+    len(list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), x -> x <> ''))
+      + CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN len(string_split(t, chr(10))) - 1 ELSE 0 END AS n
+  FROM d
+  UNION ALL
+  SELECT source, lang, '{BYTES_VERSION}', (strlen(t) + 3) // 4 FROM d
+)
+SELECT source, lang, version, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM c GROUP BY ALL
+"""
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +145,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": op2_warc,
+    "op5_pieces": op5_pieces,
+    "op7_mixing": op7_mixing,
+    "op8_token_counts": op8_token_counts,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op7_mixing": OP7_SQL, "op8_token_counts": OP8_SQL}
