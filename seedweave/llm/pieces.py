@@ -188,7 +188,8 @@ class PieceModel:
                 parts.append(self.texts[i])
             parts.append(_characters(run))
             text = "".join(parts)
-        return text[1:] if text.startswith(" ") else text
+        first = next((self.pieces[i] for i in ids if self.texts[i] or low <= i < high), "")
+        return text[1:] if first.startswith(SPACE) else text
 
 
 def _characters(run: bytearray) -> str:

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seedweave.llm import jaccard_join, mixing, pieces, quality_rules, token_counts, warc
+from seedweave.llm import jaccard_join, language_id, mixing, nearest, pieces, quality_rules, token_counts, warc
 from seedweave.llm.common import table
 from seedweave.session import path_join, stage_root
 
@@ -82,6 +82,11 @@ SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, copies, copy_no,
 FROM copies JOIN documents d USING (doc_id)
 """
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest.nearest(vectors, vectors.where(F.pmod("vec_id", F.lit(50)) == 0), k=5)
+
+
 # Where public tokenizer files lie; SEEDWEAVE_PIECES names another model file.
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -96,6 +101,13 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    filters = language_id.fit(docs.where(~language_id.in_holdout(F.col("doc_id"))))
+    shown = language_id.predict(docs, filters)
+    return shown.select("doc_id", language_id.in_holdout(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 WORDS_VERSION, BYTES_VERSION = "words-1", "bytes4-1"
 
 
@@ -146,7 +158,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
+    "op4_nearest": op4_nearest,
     "op5_pieces": op5_pieces,
+    "op6_language_id": op6_language_id,
     "op7_mixing": op7_mixing,
     "op8_token_counts": op8_token_counts,
     "op9_jaccard_join": op9_jaccard_join,
