@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seedweave.llm import jaccard_join, language_id, mixing, nearest, pieces, quality_rules, token_counts, warc
+from seedweave.llm import jaccard_join, language_id, license_scan, mixing, nearest, pieces, quality_rules, token_counts, warc
 from seedweave.llm.common import table
 from seedweave.session import path_join, stage_root
 
@@ -82,6 +82,10 @@ SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, copies, copy_no,
 FROM copies JOIN documents d USING (doc_id)
 """
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return nearest.nearest(vectors, vectors.where(F.pmod("vec_id", F.lit(50)) == 0), k=5)
@@ -158,6 +162,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
+    "op3_license_scan": op3_license_scan,
     "op4_nearest": op4_nearest,
     "op5_pieces": op5_pieces,
     "op6_language_id": op6_language_id,
@@ -167,4 +172,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op7_mixing": OP7_SQL, "op8_token_counts": OP8_SQL}
+ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op3_license_scan": license_scan.scan_sql(), "op7_mixing": OP7_SQL, "op8_token_counts": OP8_SQL}
