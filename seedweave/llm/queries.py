@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seedweave.llm import jaccard_join, language_id, license_scan, mixing, nearest, pieces, quality_rules, token_counts, warc
+from seedweave.llm import jaccard_join, language_id, license_scan, mixing, nearest, pieces, quality_rules, suffix_dedup, token_counts, warc
 from seedweave.llm.common import table
 from seedweave.session import path_join, stage_root
 
@@ -24,6 +24,10 @@ def _folder(spark: SparkSession, name: str) -> str:
     return path_join(stage_root(spark), f"seedweave-{name}-{uuid.uuid4().hex}")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"), text=False)
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
@@ -161,6 +165,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_warc": op2_warc,
     "op3_license_scan": op3_license_scan,
     "op4_nearest": op4_nearest,

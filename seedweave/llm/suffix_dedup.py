@@ -218,7 +218,7 @@ def _kept(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, data[at:]])
 
 
-def deduplicated(docs: DataFrame, text: bool = True) -> DataFrame:
+def deduplicated(docs: DataFrame, text: bool = True, most_snippets: int = MOST_SNIPPETS) -> DataFrame:
     """Every row of ``docs`` with what its repeated bytes leave.
 
     Adds n_bytes, n_removed, n_spans, kept_sha256 and, when ``text`` is set,
@@ -232,15 +232,13 @@ def deduplicated(docs: DataFrame, text: bool = True) -> DataFrame:
     replaced.
     """
     figures = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    runs = write_stage(repeated_runs(docs), "runs")
+    runs = write_stage(repeated_runs(docs, most_snippets), "runs")
     lists = runs.groupBy("id", "key").agg(F.collect_list(F.struct("at", "n")).alias("__runs"))
     columns = [c for c in docs.columns if c not in figures] if text else ["doc_id", "text"]
-    keys = _keyed(docs)
     named = docs.select(*columns).withColumns(
         {"__id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))), "__key": F.hash(F.coalesce(F.col("text"), F.lit("")))}
     )
     joined = named.join(lists.select(F.col("id").alias("__id"), F.col("key").alias("__key"), "__runs"), ["__id", "__key"], "left")
-    del keys
     joined = joined.select(*columns, "__runs")
     out_columns = columns if text else ["doc_id"]
     place = columns.index("text")
