@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from seedweave.llm import jaccard_join, mixing, pieces, quality_rules, suffix_dedup
 from seedweave.llm.common import table
 from seedweave.llm.queries import MIX_SEED, MIX_WEIGHTS, piece_model
-from seedweave.session import write_stage
+from seedweave.session import provide_stage_root, write_stage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,6 +57,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    provide_stage_root(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = write_stage(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")

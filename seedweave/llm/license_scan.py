@@ -162,8 +162,8 @@ def windows_near(docs: DataFrame, templates: list[Template]) -> DataFrame:
     banded = marked.select("doc_id", "m", F.explode(F.filter(_minima(templates), lambda t: t["h"] == F.col("m")["h"])).alias("t"))
     # All windows that hold the marked shingle; windows begin at multiples of the stride.
     low = F.greatest(F.ceil((F.col("m.i") - F.col("t.window") + 1) / F.col("t.stride")), F.lit(0))
-    number = F.explode(F.sequence(low, F.floor(F.col("m.i") / F.col("t.stride"))))
-    placed = banded.withColumn("first", (number * F.col("t.stride")).cast("int"))
+    starts = F.transform(F.sequence(low, F.floor(F.col("m.i") / F.col("t.stride"))), lambda w: (w * F.col("t.stride")).cast("int"))
+    placed = banded.withColumn("first", F.explode(starts))
     window = F.slice("m.near", (F.col("first") - F.col("m.start") + 1).cast("int"), F.col("t.window"))
     cut = placed.select("doc_id", "first", "m.h", "t.seed", "t.name", "t.shingles", window.alias("window"))
     smallest = F.array_min(F.transform("window", lambda x: x.bitwiseXOR(F.col("seed"))))
@@ -199,7 +199,7 @@ def scan_sql(texts: dict[str, str] = TEMPLATES, documents: str = "documents") ->
     return f"""
 WITH templates(license, shingle, size, span, stride) AS (VALUES {', '.join(rows)}),
 w AS (
-  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), x -> x <> '') AS w FROM {documents}
+  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM {documents}
 ), s AS (
   SELECT doc_id, unnest(range(len(w) - {SHINGLE - 1})) AS i, w FROM w WHERE len(w) >= {SHINGLE}
 ), h AS (

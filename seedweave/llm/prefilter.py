@@ -35,16 +35,23 @@ def is_marked(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (bitmap[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
 
 
-def semi_join(rows: DataFrame, keys: DataFrame, key: str, bits: int = 22) -> DataFrame:
-    """``rows`` whose ``key`` is in ``keys`` (key), as a left semi join that moves few other rows."""
+def split(rows: DataFrame, keys: DataFrame, key: str, bits: int = 22) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose ``key`` may be in ``keys`` (key), and those whose key is not."""
     bitmap = marked(keys.select(slot_of(F.col(key), bits).alias("slot")), bits)
     at = len(rows.columns)
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slots = batch.column(at).to_numpy(zero_copy_only=False)
-            chosen = batch.filter(pa.array(is_marked(bitmap, slots)))
-            yield pa.RecordBatch.from_arrays(chosen.columns[:at], names=chosen.schema.names[:at])
+    def part(wanted: bool) -> DataFrame:
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                slots = batch.column(at).to_numpy(zero_copy_only=False)
+                chosen = batch.filter(pa.array(is_marked(bitmap, slots) == wanted))
+                yield pa.RecordBatch.from_arrays(chosen.columns[:at], names=chosen.schema.names[:at])
+
+        return rows.select("*", slot_of(F.col(key), bits).alias("__slot")).mapInArrow(keep, rows.schema)
+
+    return part(True), part(False)
 
-    near = rows.select("*", slot_of(F.col(key), bits).alias("__slot")).mapInArrow(keep, rows.schema)
-    return near.join(keys, key, "left_semi")
+
+def semi_join(rows: DataFrame, keys: DataFrame, key: str, bits: int = 22) -> DataFrame:
+    """``rows`` whose ``key`` is in ``keys`` (key), as a left semi join that moves few other rows."""
+    return split(rows, keys, key, bits)[0].join(keys, key, "left_semi")

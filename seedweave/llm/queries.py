@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from seedweave.llm import jaccard_join, language_id, license_scan, mixing, nearest, pieces, quality_rules, suffix_dedup, token_counts, warc
 from seedweave.llm.common import table
-from seedweave.session import path_join, stage_root
+from seedweave.session import path_join, provide_stage_root, stage_root
+
+Query = Callable[[SparkSession, str], DataFrame]
 
 # Shares that the mixture should have: the crawl that dominates counts as much
 # as two other sources, two curated ones count more, all others alike.
@@ -126,12 +128,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     words = {WORDS_VERSION: token_counts.word_tokens(text)}
     lines = {WORDS_VERSION: token_counts.word_tokens(text) + F.size(F.split(F.coalesce(text, F.lit("")), "\n", -1)) - 1}
-    toxic = docs.join(labels.where(F.col("toxic") == 1).select("doc_id").distinct(), "doc_id", "left_semi")
+    toxic = labels.where(F.col("toxic") == 1).select("doc_id").distinct()
     bad = labels.where(F.col("quality") == 0)
     batches = {
         "words": token_counts.counted(docs, words),
         "bytes": token_counts.counted(docs, {BYTES_VERSION: token_counts.byte_tokens(text)}),
-        "lines-count": token_counts.counted(toxic, lines, "revise"),
+        "lines-count": token_counts.counted(docs, lines, "revise").join(toxic, "doc_id", "left_semi"),
         "low-quality": token_counts.deletions(bad, [WORDS_VERSION, BYTES_VERSION]),
     }
     for name in ("words", "bytes", "words", "lines-count", "low-quality", "lines-count"):
@@ -145,7 +147,7 @@ WITH d AS (
   WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)
 ), c AS (
   SELECT source, lang, '{WORDS_VERSION}' AS version,
-    len(list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), x -> x <> ''))
+    len(list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))
       + CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN len(string_split(t, chr(10))) - 1 ELSE 0 END AS n
   FROM d
   UNION ALL
@@ -164,7 +166,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.BASE_STATS, "base_failed", "kept", "rule")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+def _ready(query: Query) -> Query:
+    """The query, with a stage folder for local sessions that have none."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        provide_stage_root(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+_QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_warc": op2_warc,
     "op3_license_scan": op3_license_scan,
@@ -177,4 +189,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
+QUERIES = {name: _ready(query) for name, query in _QUERIES.items()}
+
 ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op3_license_scan": license_scan.scan_sql(), "op7_mixing": OP7_SQL, "op8_token_counts": OP8_SQL}

@@ -8,7 +8,8 @@ To find all such strings without sorting all suffixes together:
    neighbouring windows mostly share theirs, so a text is covered by one
    snippet per anchor, the stretch of all windows that have it.
 2. Anchors that occur once are dropped, as are all windows under them.
-3. Snippets that are equal as a whole repeat as a whole; counts tell so.
+3. Snippets that are equal as a whole (anchor and content hash, 64 bits each,
+   and length) repeat as a whole; counts tell so.
 4. What is left are different snippets with equal anchors.  They are brought
    together by anchor, and a suffix sort with hashed comparisons finds which of
    their windows repeat.  An anchor with very many different snippets (the rim
@@ -40,7 +41,7 @@ SORT_BYTES = 1 << 19
 SHARED_BITS = 24
 # Positions fit the low bits of a packed (hash, position) number.
 _PLACE_BITS = 24
-_LONGEST = 1 << 22
+_LONGEST = 1 << 20
 _ROW = "h BIGINT, c BIGINT, id BIGINT, key INT, at BIGINT, n BIGINT"
 
 
@@ -187,7 +188,9 @@ def repeated_runs(docs: DataFrame, most_snippets: int = MOST_SNIPPETS) -> DataFr
     mixed = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("m").alias("least")).where((F.col("k") > 1) & (F.col("least") == 1))
     wanted = kinds.join(mixed.select("h", "k"), "h").select("h", "k", "m", "rep.*")
     bytes_ = F.expr(f"substring(cast(text as binary), cast(at + 1 as int), cast(n + {SPAN - 1} as int))")
-    cut = wanted.join(keyed, ["id", "key"]).select("h", "k", "m", "id", "key", "at", "n", bytes_.alias("snippet"))
+    wanted = write_stage(wanted, "wanted")
+    holders, _ = prefilter.split(keyed, wanted.select("id"), "id")
+    cut = wanted.join(holders, ["id", "key"]).select("h", "k", "m", "id", "key", "at", "n", bytes_.alias("snippet"))
     cut = write_stage(cut, "cut")
     near = cut.where(F.col("k") <= most_snippets).repartition("h").sortWithinPartitions("h")
     runs = near.select("h", "m", "id", "key", "at", "n", "snippet").mapInArrow(_sorted_windows, "id BIGINT, key INT, at BIGINT, n BIGINT")
@@ -238,8 +241,11 @@ def deduplicated(docs: DataFrame, text: bool = True, most_snippets: int = MOST_S
     named = docs.select(*columns).withColumns(
         {"__id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))), "__key": F.hash(F.coalesce(F.col("text"), F.lit("")))}
     )
-    joined = named.join(lists.select(F.col("id").alias("__id"), F.col("key").alias("__key"), "__runs"), ["__id", "__key"], "left")
-    joined = joined.select(*columns, "__runs")
+    # Only documents that may have a run are moved to meet theirs.
+    near, far = prefilter.split(named, runs.select(F.col("id").alias("__id")), "__id")
+    met = near.join(lists.select(F.col("id").alias("__id"), F.col("key").alias("__key"), "__runs"), ["__id", "__key"], "left")
+    none = F.lit(None).cast("array<struct<at:bigint,n:bigint>>").alias("__runs")
+    joined = met.select(*columns, "__runs").unionByName(far.select(*columns, none))
     out_columns = columns if text else ["doc_id"]
     place = columns.index("text")
     schema = joined.limit(0).selectExpr(

@@ -65,7 +65,7 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]] if len(offsets) else raw[:0], offsets - offsets[0]
 
 
-def blocks(offsets: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def blocks(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows of at most ``most`` bytes together, or one longer row."""
     first, n = 0, len(offsets) - 1
     while first < n:

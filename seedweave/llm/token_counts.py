@@ -7,7 +7,7 @@ never counted anew.  A batch commits by one small file written last: a batch
 that broke off is written again, one that is committed is not applied twice.
 
 Layout under the root folder: ``ledger/<batch>`` has the documents' current
-contributions as of that batch, ``deltas/<batch>`` its deltas, ``commits/<batch>``
+contributions before and as of that batch, ``deltas/<batch>`` its deltas, ``commits/<batch>``
 its number.  Batches of one root are applied by one writer at a time.
 """
 
@@ -26,7 +26,10 @@ from seedweave.session import path_join
 KEY = ("doc_id", "version")
 GROUP = ("source", "lang", "version")
 CHANGES = "op STRING, doc_id BIGINT, version STRING, source STRING, lang STRING, n_tokens BIGINT"
-LEDGER = "doc_id BIGINT, version STRING, live BOOLEAN, source STRING, lang STRING, n_tokens BIGINT, batch_no BIGINT"
+LEDGER = (
+    "doc_id BIGINT, version STRING, live BOOLEAN, source STRING, lang STRING, n_tokens BIGINT, batch_no BIGINT, "
+    "was BOOLEAN, old_source STRING, old_lang STRING, old_tokens BIGINT"
+)
 DELTAS = "source STRING, lang STRING, version STRING, d_docs BIGINT, d_tokens BIGINT"
 
 
@@ -92,11 +95,15 @@ class TokenRollup:
         both = new.join(old, [*KEY], "left")
         shown = [F.col(f"new.{c}").alias(c) for c in ("source", "lang", "n_tokens")]
         was = F.coalesce("old.live", F.lit(False))
-        moved = both.select(*KEY, "live", *shown, F.lit(number).cast("bigint").alias("batch_no"), was.alias("was"), F.col("old"))
-        minus = moved.where("was").select("old.source", "old.lang", "version", F.lit(-1).alias("d"), (-F.col("old.n_tokens")).alias("t"))
+        before = [F.col(f"old.{c}").alias(f"old_{c.removeprefix('n_')}") for c in ("source", "lang", "n_tokens")]
+        rows = both.select(*KEY, "live", *shown, F.lit(number).cast("bigint").alias("batch_no"), was.alias("was"), *before)
+        rows.write.mode("overwrite").parquet(ledger)
+        moved = self.spark.read.schema(LEDGER).parquet(ledger)
+        minus = moved.where("was").select(
+            F.col("old_source").alias("source"), F.col("old_lang").alias("lang"), "version", F.lit(-1).alias("d"), (-F.col("old_tokens")).alias("t")
+        )
         plus = moved.where("live").select("source", "lang", "version", F.lit(1).alias("d"), F.col("n_tokens").alias("t"))
         deltas = minus.unionByName(plus).groupBy(*GROUP).agg(F.sum("d").cast("bigint").alias("d_docs"), F.sum("t").cast("bigint").alias("d_tokens"))
-        moved.select(*[c.split()[0] for c in LEDGER.split(", ")]).write.mode("overwrite").parquet(ledger)
         deltas.write.mode("overwrite").parquet(self._folder("deltas", batch_id))
         commit = self.spark.createDataFrame([(batch_id, number)], "batch_id STRING, batch_no BIGINT").coalesce(1)
         commit.write.mode("overwrite").json(self._folder("commits", batch_id))

@@ -2,10 +2,8 @@ import pytest
 
 
 @pytest.fixture(scope="session")
-def shared_folder(spark, tmp_path_factory):
-    """A folder for written stages where the session names none."""
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("stages")))
+def shared_folder(spark):
+    """The session's folder for written stages."""
     return spark.conf.get("spark.checkpoint.dir")
 
 

@@ -52,10 +52,10 @@ def corpus(seed):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize(("seed", "direct"), [(1, jaccard_join.DIRECT_PAIRS), (2, 0)])
-def test_equals_brute_force(documents, monkeypatch, seed, direct):
-    # With 0 every region goes through rounds of pivots to its end.
-    monkeypatch.setattr(jaccard_join, "DIRECT_PAIRS", direct)
+@pytest.mark.parametrize(("seed", "block"), [(1, jaccard_join.BLOCK_DOCS), (2, 3)])
+def test_equals_brute_force(documents, monkeypatch, seed, block):
+    # With 3 most groups are cut into many blocks.
+    monkeypatch.setattr(jaccard_join, "BLOCK_DOCS", block)
     texts = corpus(seed)
     got = jaccard_join.jaccard_components(documents(texts).repartition(4)).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(texts)
