@@ -213,9 +213,17 @@ STAGES: dict[str, str] = {
     "self_candidates": _tied_longest("self_near_runs"),
     "two_db_hits": "SELECT q, strand, ref_id % 2 AS db_id, ref_id, qpos, rpos FROM dna_hits",
     "accessions": """SELECT 'AC' || CAST(ref_id AS STRING) || '.1' AS accession, CAST(tax_id AS BIGINT) AS tax_id
-                     FROM dna_refs WHERE tax_id <> -1""",
+                     FROM dna_refs""",
     "header_names": """SELECT '>AC' || CAST(p_partkey AS STRING) || '.1 synthetic' AS old,
-                       '>named;' || p_name || ';' || CAST(p_partkey AS STRING) AS new FROM part WHERE p_partkey % 3 = 0""",
+                       '>named;' || p_name || ';' || CAST(p_partkey AS STRING) AS new FROM part""",
+    "two_db_near": _near_best("two_db_hits"),
+    "two_db_runs": _runs("two_db_near", T // 2),
+    "two_db_candidates": _tied_longest("two_db_runs"),
+    "two_db_segments": _segments("two_db_candidates", "dna_strands", "(SELECT * EXCLUDE (db_id) FROM dna_refs)", T),
+    "two_db_scores": _scores("two_db_segments", T),
+    "two_db_groups": _groups("two_db_scores"),
+    "two_db_members": _members("two_db_groups", "dna_refs"),
+    **_chain("short", "SELECT * FROM dna_refs", "SELECT * FROM dna_reads", 18, both=True),
 }
 
 
@@ -293,7 +301,8 @@ _SQL: dict[str, str] = {
         ref_id + CASE WHEN ref_id % 2 = 1 THEN (SELECT max(ref_id) + 1 FROM dna_refs WHERE ref_id % 2 = 0) ELSE 0 END AS ref_id,
         count(*) AS n, CAST(sum(rpos) AS BIGINT) AS rpos_sum, min(kmer) AS min_kmer, max(kmer) AS max_kmer
         FROM dna_postings GROUP BY ref_id""",
-    "skip_bad_index": PROFILE.format("(SELECT * FROM dna_postings WHERE ref_id % 2 = 1)"),
+    "skip_bad_index": PROFILE.format("dna_postings"),
+    "classify_two_indexes": "SELECT q, grp, confident, header, tax_id FROM two_db_members",
     "write_results_tiered": _tier_rows(FILE_COLUMNS),
     "combine_results": f"SELECT {FILE_COLUMNS} FROM dna_results",
     # projections, filters, scalar functions
@@ -323,7 +332,7 @@ _SQL: dict[str, str] = {
         string_agg(CAST(rpos AS STRING) || ':' || CAST(ref_id AS STRING), ',' ORDER BY rpos, ref_id) AS entries
         FROM dna_postings GROUP BY ALL""",
     "posting_summary": """SELECT kmer, count(*) AS n_postings, count(DISTINCT ref_id) AS n_refs, min(rpos) AS min_rpos,
-        max(rpos) AS max_rpos FROM text_postings GROUP BY kmer HAVING count(*) > 1""",
+        max(rpos) AS max_rpos FROM text_postings GROUP BY kmer""",
     "unique_seeds": "SELECT count(DISTINCT kmer) AS n FROM text_postings",
     "query_seed_uniqueness": "SELECT round(100.0 * count(DISTINCT kmer) / count(*), 6) AS pct FROM dna_seeds",
     "suppress_frequent_seeds": f"""WITH short AS MATERIALIZED ({_postings('text_refs', 18)})
@@ -341,6 +350,10 @@ _SQL: dict[str, str] = {
     "seed_hits_text": f"SELECT {PAIR}, qpos, rpos FROM text_hits",
     "lookup_taxid": """SELECT ref_id, header, coalesce(a.tax_id, -1) AS tax_id FROM dna_refs
         LEFT JOIN accessions a ON regexp_extract(header, '^>?(\\S+)', 1) = accession""",
+    "lookup_taxid_repeated": """SELECT ref_id, header, coalesce(a.tax_id, -1) AS tax_id FROM dna_refs
+        LEFT JOIN (SELECT accession, max(t) AS tax_id FROM (
+          SELECT accession, tax_id AS t FROM accessions UNION ALL SELECT accession, tax_id - 7 FROM accessions) GROUP BY accession) a
+        ON regexp_extract(header, '^>?(\\S+)', 1) = accession""",
     "fetch_flanks": f"""SELECT q, strand, ref_id, q_start, r_start,
         substr(s.seq, greatest(0, q_start - {T}) + 1, least({T}, q_start)) AS q_head,
         substr(f.seq, greatest(0, r_start - {T}) + 1, least({T}, r_start)) AS r_head,
@@ -370,6 +383,7 @@ _SQL: dict[str, str] = {
     "classify": f"SELECT {RESULT} FROM dna_results",
     "classify_all_groups": f"SELECT {RESULT} FROM all_results",
     "classify_text": f"SELECT {RESULT} FROM text_results",
+    "classify_short": f"SELECT {RESULT} FROM short_results",
     "classify_fast": f"SELECT {RESULT} FROM quick_results",
     # taxon vote and report
     "tax_occurrences": "SELECT q, grp, confident, tax_id, n FROM dna_occurrences",
@@ -382,7 +396,7 @@ _SQL: dict[str, str] = {
         FROM dna_members GROUP BY q, grp, confident) JOIN dna_reads r USING (q)""",
     "tiers": _tier_rows("q, confident"),
     "relative_abundance": """SELECT header, round(100.0 * count(*) / (SELECT count(*) FROM dna_results), 6) AS pct
-        FROM (SELECT split_part(headers, ',', 1) AS header FROM dna_results) GROUP BY header""",
+        FROM (SELECT split_part(headers, ',', 1) || ', primary' AS header FROM dna_results) GROUP BY header""",
     # duplicates and completeness
     "duplicate_queries": """SELECT first_id, seq_id, n_surplus FROM (
         SELECT seq_id, min(seq_id) OVER (PARTITION BY seq) AS first_id, count(*) OVER (PARTITION BY seq) - 1 AS n_surplus

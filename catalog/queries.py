@@ -16,7 +16,7 @@ from seedweave.operators import kmers, matching, ranking, report, scoring
 from seedweave.operators import sequences as seqs
 from seedweave.params import MatchParams
 from seedweave.plans import classify as plans
-from seedweave.session import default_spread, stage_root, write_stage
+from seedweave.session import default_spread, provide_stage_root, stage_root, write_stage
 from seedweave.sources import index_store, lookups, results
 from seedweave.sources import sequences as seq_io
 
@@ -32,6 +32,7 @@ def query(fn: Query) -> Query:
     """Register under the function's name, with integers widened to BIGINT."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        provide_stage_root(spark)
         df = fn(spark, sf_dir)
         narrow = (T.IntegerType, T.ShortType, T.ByteType)
         return df.select(
@@ -218,7 +219,7 @@ def read_sequence_table(spark, sf_dir):
 
 def _accession_file(spark, sf_dir):
     path = scratch(spark, "accessions")
-    rows = dna_refs(spark, sf_dir).where("tax_id <> -1")
+    rows = dna_refs(spark, sf_dir)
     name = F.concat(F.lit("AC"), F.col("ref_id").cast("string"))
     rows.select(
         name.alias("accession"), F.concat(name, F.lit(".1")).alias("accession.version"),
@@ -234,7 +235,7 @@ def read_accession_taxid(spark, sf_dir):
 
 def _header_map_file(spark, sf_dir):
     path = scratch(spark, "header-map")
-    fx.table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(
+    fx.table(spark, sf_dir, "part").select(
         F.concat(F.lit(">AC"), F.col("p_partkey").cast("string"), F.lit(".1 synthetic")),
         F.concat_ws(";", F.lit(">named"), "p_name", F.col("p_partkey").cast("string")),
     ).write.options(sep="\t").csv(path)
@@ -249,10 +250,15 @@ def read_header_map(spark, sf_dir):
 def _stored(spark, sf_dir, where: str = "true") -> str:
     path = scratch(spark, "index")
     refs = dna_refs(spark, sf_dir).where(where)
-    index_store.write_index(ix.build_index(refs, THRESHOLD), path, rows_per_salt=1000)
+    index_store.write_index(ix.build_index(refs, THRESHOLD), path, n_buckets=4, rows_per_salt=1000)
     return path
 
 
+def _stored_halves(spark, sf_dir) -> list[str]:
+    """All references, stored as two indexes."""
+    return [_stored(spark, sf_dir, f"ref_id % 2 = {i}") for i in (0, 1)]
+
+
 def _posting_profile(postings: DataFrame) -> DataFrame:
     return postings.groupBy("db_id", "ref_id").agg(
         F.count(F.lit(1)).alias("n"),
@@ -282,9 +288,18 @@ def union_indexes(spark, sf_dir):
     return _posting_profile(ix.union_indexes(halves).postings)
 
 
+@query
+def classify_two_indexes(spark, sf_dir):
+    """One answer from two stored indexes, each judged by its own best streak of seeds."""
+    united = index_store.read_index(spark, _stored_halves(spark, sf_dir), THRESHOLD)
+    grouped = plans.classify_scores(dna_reads(spark, sf_dir), united, threshold=THRESHOLD)
+    members = report.with_reference(grouped, united.refs)
+    return members.select("q", "grp", "confident", "header", "tax_id")
+
+
 @query
 def skip_bad_index(spark, sf_dir):
-    paths = [scratch(spark, "missing"), _stored(spark, sf_dir, "ref_id % 2 = 1")]
+    paths = [scratch(spark, "missing"), _stored(spark, sf_dir)]
     return _posting_profile(index_store.read_index(spark, paths, THRESHOLD, on_error="skip").postings)
 
 
@@ -413,8 +428,7 @@ def posting_lists(spark, sf_dir):
 
 @query
 def posting_summary(spark, sf_dir):
-    """Summary of the k-mers that some document repeats or shares."""
-    return ix.posting_summary(text_postings(spark, sf_dir)).where("n_postings > 1")
+    return ix.posting_summary(text_postings(spark, sf_dir))
 
 
 @query
@@ -479,6 +493,14 @@ def lookup_taxid(spark, sf_dir):
     return seqs.lookup_taxid(dna_refs(spark, sf_dir).select("ref_id", "header"), known)
 
 
+@query
+def lookup_taxid_repeated(spark, sf_dir):
+    """A map that has every accession twice, with different taxa."""
+    known = lookups.read_accession_taxid(spark, _accession_file(spark, sf_dir))
+    twice = known.unionByName(known.withColumn("tax_id", F.col("tax_id") - 7))
+    return seqs.lookup_taxid(dna_refs(spark, sf_dir).select("ref_id", "header"), twice)
+
+
 @query
 def fetch_flanks(spark, sf_dir):
     flanks = scoring.fetch_flanks(
@@ -629,6 +651,13 @@ def classify_text(spark, sf_dir):
     )
 
 
+@query
+def classify_short(spark, sf_dir):
+    """An even, low threshold: short seeds, none of which is suppressed."""
+    index = ix.build_index(dna_refs(spark, sf_dir), 18)
+    return plans.classify(dna_reads(spark, sf_dir), index, 18).drop("confident_text")
+
+
 @query
 def classify_fast(spark, sf_dir):
     return plans.classify_fast(dna_reads(spark, sf_dir), dna_index(spark, sf_dir), threshold=THRESHOLD).drop(
@@ -688,7 +717,10 @@ def tiers(spark, sf_dir):
 
 @query
 def relative_abundance(spark, sf_dir):
-    return report.relative_abundance(dna_results(spark, sf_dir)).select("header", F.round("pct", 6).alias("pct"))
+    """Shares of headers that have commas in them."""
+    members = dna_members(spark, sf_dir).withColumn("header", F.concat("header", F.lit(", primary")))
+    winners = report.winning_taxa(report.tax_occurrences(members))
+    return report.relative_abundance(members, winners).select("header", F.round("pct", 6).alias("pct"))
 
 
 # ---- duplicates and completeness ------------------------------------------

@@ -22,7 +22,9 @@ class Index:
 
     ``threshold`` fixes the k-mer length and seed stride; a classification may
     use a higher one.  ``hot`` and a ``salt`` column of the postings are there
-    when the index was read from storage.
+    when the index was read from storage.  ``parts`` are the indexes that were
+    united, each with its own buckets; ``suppressed`` says that frequent k-mers
+    were left out.
     """
 
     postings: DataFrame
@@ -31,6 +33,16 @@ class Index:
     sampled: bool = False
     hot: DataFrame | None = None
     complete: bool = False
+    suppressed: bool = False
+    parts: tuple[Index, ...] = ()
+    spans: tuple[int, int] | None = None
+
+    def id_spans(self) -> tuple[int, int]:
+        """(databases, reference ids) that the index takes up, counted from 0."""
+        if self.spans is not None:
+            return self.spans
+        top = self.refs.agg(F.max("db_id").alias("d"), F.max("ref_id").alias("r")).first()
+        return (0 if top["d"] is None else top["d"] + 1, 0 if top["r"] is None else top["r"] + 1)
 
 
 def refs_meta(refs: DataFrame, accession_map: DataFrame | None = None, db_id: int = 0) -> DataFrame:
@@ -50,46 +62,61 @@ def refs_meta(refs: DataFrame, accession_map: DataFrame | None = None, db_id: in
     )
 
 
-def build_index(refs: DataFrame, threshold: int, accession_map: DataFrame | None = None) -> Index:
+def build_index(
+    refs: DataFrame, threshold: int, accession_map: DataFrame | None = None, suppress: bool = False
+) -> Index:
     """An index over normalized references, evaluated lazily.
 
-    Below a threshold of 20 k-mers are short, and the frequent ones are dropped
-    as the suppression rule says.
+    ``suppress`` applies the suppression rule, which drops the frequent k-mers
+    of thresholds below 20; without it the index holds every k-mer.
     """
     meta = refs_meta(refs, accession_map)
     postings = ref_kmers(meta, MatchParams(threshold).k)
-    if threshold < SUPPRESS_BELOW:
+    suppress = suppress and threshold < SUPPRESS_BELOW
+    if suppress:
         postings = suppress_frequent_seeds(postings, threshold)
-    return Index(postings, meta, threshold, complete=threshold >= SUPPRESS_BELOW)
+    return Index(postings, meta, threshold, complete=not suppress, suppressed=suppress)
 
 
 def union_indexes(indexes: list[Index]) -> Index:
-    """Stack indexes: each gets its own db_id and a range of reference ids."""
+    """Stack indexes: each gets its own range of database and reference ids.
+
+    The parts stay apart, so seeds meet each of them in its own buckets and
+    only hits are united.
+    """
     if not indexes:
         raise ValueError("no index to unite")
     thresholds = {i.threshold for i in indexes}
     if len(thresholds) > 1:
         raise ValueError(f"indexes were built with different thresholds: {sorted(thresholds)}")
-    offset, parts = 0, []
-    for db_id, index in enumerate(indexes):
-        shifted = [
-            df.withColumn("ref_id", F.col("ref_id") + F.lit(offset).cast("bigint")).withColumn("db_id", F.lit(db_id))
-            for df in (index.postings.select("db_id", "ref_id", "rpos", "kmer"), index.refs)
-        ]
-        parts.append(shifted)
-        if db_id < len(indexes) - 1:
-            top = index.refs.agg(F.max("ref_id").alias("m")).first()["m"]
-            offset += 0 if top is None else top + 1
-    postings, refs = (reduce(DataFrame.unionByName, tables) for tables in zip(*parts))
+    next_db, next_ref, parts = 0, 0, []
+    for index in indexes:
+        for part in index.parts or (index,):
+            parts.append(_shifted(part, next_db, next_ref))
+        dbs, ids = index.id_spans()
+        next_db, next_ref = next_db + dbs, next_ref + ids
+    columns = ("db_id", "ref_id", "rpos", "kmer")
     return Index(
-        postings,
-        refs,
+        reduce(DataFrame.unionByName, (p.postings.select(*columns) for p in parts)),
+        reduce(DataFrame.unionByName, (p.refs for p in parts)),
         indexes[0].threshold,
         sampled=any(i.sampled for i in indexes),
         complete=all(i.complete for i in indexes),
+        suppressed=any(i.suppressed for i in indexes),
+        parts=tuple(parts),
+        spans=(next_db, next_ref),
     )
 
 
+def _shifted(index: Index, db_offset: int, ref_offset: int) -> Index:
+    """The same index with its ids moved; buckets and salts stay as they are."""
+    ids = {
+        "db_id": (F.col("db_id") + F.lit(db_offset)).cast("int"),
+        "ref_id": F.col("ref_id") + F.lit(ref_offset).cast("bigint"),
+    }
+    return replace(index, postings=index.postings.withColumns(ids), refs=index.refs.withColumns(ids), spans=None)
+
+
 def posting_lists(postings: DataFrame, ref_span: int = 64, pos_span: int = 4096) -> DataFrame:
     """Posting lists (kmer, part keys, n_postings, entries sorted by position).
 
@@ -180,7 +207,7 @@ def sample_postings(postings: DataFrame, k: int, pct: float) -> DataFrame:
 def prune_index_to_queries(postings: DataFrame, seeds: DataFrame) -> DataFrame:
     """Only the postings whose k-mer some read asks for."""
     asked = seeds.select("kmer").distinct()
-    return postings.join(broadcast_if_small(asked), "kmer", "left_semi")
+    return postings.join(broadcast_if_small(asked, width=128), "kmer", "left_semi")
 
 
 def ref_stats(refs: DataFrame) -> DataFrame:

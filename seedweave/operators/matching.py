@@ -24,25 +24,25 @@ CHAIN_BLOCK = 65_536
 
 
 def seed_hits(
-    seeds: DataFrame, postings: DataFrame, hot: DataFrame | None = None, n_seeds: int | None = None
+    seeds: DataFrame, postings: DataFrame, hot: DataFrame | None = None, n_seeds: int | None = None, k: int = 32
 ) -> DataFrame:
     """Hits (q, strand, db_id, ref_id, qpos, rpos): seeds joined with postings.
 
-    Few seeds (counted) are broadcast, and the postings stream past them
+    Few seeds (counted, of ``k`` characters) are broadcast, and the postings stream past them
     without a shuffle.  Otherwise both sides meet on the k-mer.  A stored index
     spreads a frequent k-mer over several ``salt`` values; ``hot`` (kmer,
     n_salts) then copies that k-mer's seeds to each of them, so that the join
     follows the index's buckets and no bucket holds a whole frequent k-mer.
     """
     keys = ["kmer"]
-    few = broadcast_if_small(seeds, n_seeds)
+    few = broadcast_if_small(seeds, n_seeds, 4 * k)
     if few is not seeds:
         seeds = few
     elif hot is not None and "salt" in postings.columns:
-        # `hot` has at most 10,000 rows by construction (see write_index).
+        # `hot` grows with the index; Spark broadcasts it while it is small.
         n_salts = F.coalesce(F.col("n_salts"), F.lit(1))
         seeds = (
-            seeds.join(F.broadcast(hot), "kmer", "left")
+            seeds.join(hot, "kmer", "left")
             .withColumn("salt", F.explode(F.sequence(F.lit(0), n_salts - 1)))
             .drop("n_salts")
         )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seedweave.session import write_stage
+
 GROUP = ["q", "grp", "confident"]
 
 
@@ -94,15 +96,18 @@ def screen_rows(grouped: DataFrame, refs_meta: DataFrame, reads: DataFrame) -> D
     return lines.join(names, "q").select("q", "query_header", "confident", "refs", "grp")
 
 
-def relative_abundance(results: DataFrame) -> DataFrame:
-    """Share of the result rows per first reference header, in percent."""
-    rows = results.select(F.substring_index("headers", ",", 1).alias("header"))
-    total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return (
-        rows.groupBy("header")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("header", (F.lit(100.0) * F.col("n") / total).alias("pct"))
-    )
+def relative_abundance(members: DataFrame, winners: DataFrame) -> DataFrame:
+    """Share of the result rows per first reference header, in percent.
+
+    The first reference of a row is found among its members, so headers may
+    hold any character.
+    """
+    won = members.join(winners.select(*GROUP, "tax_id", "ord"), [*GROUP, "tax_id"])
+    first = F.min(F.struct("ord", "ref_id", "header"))["header"]
+    counts = won.groupBy(*GROUP).agg(first.alias("header")).groupBy("header").agg(F.count(F.lit(1)).alias("n"))
+    counts = write_stage(counts, "header-counts")  # read for the rows and for their total
+    total = counts.agg(F.sum("n").alias("n")).scalar()
+    return counts.select("header", (F.lit(100.0) * F.col("n") / total).alias("pct"))
 
 
 def tiers(

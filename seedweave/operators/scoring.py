@@ -74,7 +74,7 @@ def fetch_flanks(
     runs touch becomes one row or one task.  With few runs (counted) the
     requests are broadcast and no text moves at all.
     """
-    few = fits_broadcast(4 * (row_count(runs) if n_runs is None else n_runs))
+    few = fits_broadcast(4 * (row_count(runs) if n_runs is None else n_runs), 4 * threshold)
     T = threshold
     read_strand, no_strand = F.col("run.strand"), F.lit("")
     q_at = F.greatest(F.lit(0), F.col("run.q_start") - T)
@@ -125,7 +125,8 @@ def extend_runs(flanked: DataFrame, threshold: int) -> DataFrame:
 def keep_unextended(runs: DataFrame, reads: DataFrame, refs: DataFrame) -> DataFrame:
     """The fast mode's segments: runs as they are, with the two text lengths."""
     read_lengths = reads.select(F.col("seq_id").alias("q"), F.length("seq").alias("query_len"))
-    ref_lengths = refs.select("ref_id", F.length("seq").alias("ref_len"))
+    length = F.col("ref_len") if "ref_len" in refs.columns else F.length("seq")  # no text where the length is stored
+    ref_lengths = refs.select("ref_id", length.alias("ref_len"))
     sized = runs.join(read_lengths, "q").join(ref_lengths, "ref_id")
     return _segments(sized.withColumn("n_head", F.lit(0)).withColumn("n_tail", F.lit(0)))
 

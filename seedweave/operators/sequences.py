@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seedweave.functions import text
+from seedweave.session import broadcast_if_small, write_stage
 
 FORWARD, REVERSE = "+", "-"
 
@@ -56,8 +57,9 @@ def number_rows(df: DataFrame, id_col: str = "seq_id") -> DataFrame:
     counts = tagged.groupBy("_part").agg(F.min("_mono").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    offsets = write_stage(offsets, "offsets")  # one row per partition
     others = [c for c in df.columns if c != id_col]
-    return tagged.join(offsets, "_part").select(
+    return tagged.join(broadcast_if_small(offsets), "_part").select(
         (F.col("_offset") + F.col("_mono") - F.col("_first")).alias(id_col), *others
     )
 
@@ -72,11 +74,10 @@ def sort_sequences(df: DataFrame, by: str = "seq") -> DataFrame:
 def translate_headers(df: DataFrame, header_map: DataFrame) -> DataFrame:
     """Replace a header by its mapped name where the map (old, new) has one.
 
-    Both sides shuffle unless Spark measures the map to be small.
+    A header that the map names several times gets the last of its names in
+    text order.  Both sides shuffle unless Spark measures the map to be small.
     """
-    names = header_map.select(
-        F.col("old").alias("header"), F.translate("new", ";", "_").alias("_new_header")
-    )
+    names = header_map.groupBy(F.col("old").alias("header")).agg(F.max(F.translate("new", ";", "_")).alias("_new_header"))
     joined = df.join(names, "header", "left")
     return joined.select(
         *[F.coalesce("_new_header", "header").alias("header") if c == "header" else F.col(c) for c in df.columns]
@@ -86,11 +87,11 @@ def translate_headers(df: DataFrame, header_map: DataFrame) -> DataFrame:
 def lookup_taxid(refs: DataFrame, accession_map: DataFrame) -> DataFrame:
     """Attach ``tax_id`` by the accession in the header; -1 when unknown.
 
-    The map needs unique accessions.  Neither side is forced to broadcast: an
+    An accession that the map has several times gets its largest taxon.  Neither side is forced to broadcast: an
     accession map of a public archive has hundreds of millions of rows.
     """
     keyed = refs.withColumn("accession", text.extract_accession("header"))
-    known = accession_map.select("accession", F.col("tax_id").alias("_tax_id"))
+    known = accession_map.groupBy("accession").agg(F.max("tax_id").alias("_tax_id"))
     return (
         keyed.join(known, "accession", "left")
         .withColumn("tax_id", F.coalesce(F.col("_tax_id"), F.lit(-1)).cast("int"))

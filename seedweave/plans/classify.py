@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 
 from seedweave.operators import kmers, matching, ranking, report, scoring
@@ -49,9 +51,10 @@ def score_reads(
     stranded = seqs.both_strands(reads) if strands else seqs.forward_only(reads)
     seeds = kmers.query_seeds(stranded, index.threshold)
     postings = index.postings
-    if index.complete and fits_broadcast(n_seeds):
+    if index.complete and fits_broadcast(n_seeds, 4 * seed_params.k):
         postings = scan_postings(index.refs, seeds, seed_params.k)
-    hits = matching.seed_hits(seeds, postings, index.hot, n_seeds)
+    sources = [(p.postings, p.hot) for p in index.parts] if index.parts and postings is index.postings else [(postings, index.hot)]
+    hits = reduce(DataFrame.unionByName, [matching.seed_hits(seeds, p, hot, n_seeds, seed_params.k) for p, hot in sources])
     runs = write_stage(matching.chain_runs(hits, seed_params.step, adjacency), "runs")
     candidates = write_stage(matching.candidate_runs(runs, seed_params.step), "candidates")
 

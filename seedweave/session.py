@@ -9,31 +9,30 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Upper bound for any table this package broadcasts.  The rows it broadcasts
-# are narrow (ids, positions and at most a few dozen characters), so this is
-# some tens of megabytes per executor.
-BROADCAST_ROWS = 500_000
+# Upper bound for any table this package broadcasts, and the bytes that a row
+# without texts (ids, positions, short names) is taken to need.
+BROADCAST_BYTES = 32 << 20
+ROW_BYTES = 64
 
-_local_roots: dict[str, str] = {}
+def _configured_root(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
 
 def stage_root(spark: SparkSession) -> str:
-    """Folder for written stages: the cluster's shared checkpoint folder.
-
-    Only a local master, where driver and executors share one disk, may fall
-    back to a temporary folder.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder for written stages: the checkpoint folder that all executors share."""
+    configured = _configured_root(spark)
     if not configured:
-        configured = spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local_roots:
-        _local_roots[app] = tempfile.mkdtemp(prefix="spark-seedweave-")
-    return _local_roots[app]
+    return configured.rstrip("/")
+
+
+def provide_stage_root(spark: SparkSession) -> None:
+    """Give a local session without a checkpoint folder a temporary one; for small checks and tests.
+
+    Under a local master driver and executors are one process with one disk.
+    """
+    if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master and not _configured_root(spark):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-seedweave-"))
 
 
 def write_stage(df: DataFrame, name: str) -> DataFrame:
@@ -52,17 +51,18 @@ def row_count(df: DataFrame) -> int:
     return df.select(F.lit(1)).count()
 
 
-def fits_broadcast(rows: int) -> bool:
-    return rows <= BROADCAST_ROWS
+def fits_broadcast(rows: int, width: int = 0) -> bool:
+    """Whether ``rows`` rows with ``width`` bytes of text each may be broadcast."""
+    return rows * (ROW_BYTES + width) <= BROADCAST_BYTES
 
 
-def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
+def broadcast_if_small(df: DataFrame, rows: int | None = None, width: int = 0) -> DataFrame:
     """Hint a broadcast only when the counted size allows it.
 
     Beyond the bound the frame is returned unhinted and the join shuffles,
     with skewed partitions split by adaptive execution.
     """
-    return F.broadcast(df) if fits_broadcast(row_count(df) if rows is None else rows) else df
+    return F.broadcast(df) if fits_broadcast(row_count(df) if rows is None else rows, width) else df
 
 
 def default_spread(spark: SparkSession) -> int:

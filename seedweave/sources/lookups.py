@@ -24,10 +24,7 @@ def read_accession_taxid(spark: SparkSession, path: str | list[str]) -> DataFram
 
 
 def read_header_map(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(old, new) header names."""
-    return (
-        spark.read.schema("old STRING, new STRING")
-        .options(sep="\t", quote="", mode="PERMISSIVE")
-        .csv(path)
-        .where(F.col("old").isNotNull() & F.col("new").isNotNull())
-    )
+    """(old, new) header names.  A row without two names stops the read."""
+    rows = spark.read.schema("old STRING, new STRING").options(sep="\t", quote="", mode="FAILFAST").csv(path)
+    missing = F.raise_error(F.concat(F.lit("no new name for header "), F.coalesce("old", F.lit("?")))).cast("string")
+    return rows.select("old", F.when(F.col("old").isNull() | F.col("new").isNull(), missing).otherwise(F.col("new")).alias("new"))

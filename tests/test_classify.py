@@ -35,7 +35,7 @@ def test_goldens(dna):
 
 def test_same_answer_when_nothing_is_broadcast(dna, monkeypatch):
     reads, refs, top = dna
-    monkeypatch.setattr(session, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(session, "BROADCAST_BYTES", -1)
     shuffled = classify_scores(reads, ix.build_index(refs.repartition(7), 31))
     columns = ["q", "strand", "ref_id", "confident", "sum_sq", "covered"]
     a, b = top.select(columns), shuffled.select(columns)

@@ -1,3 +1,4 @@
+import shutil
 import warnings
 
 import pytest
@@ -7,6 +8,7 @@ from seedweave.operators import index as ix
 from seedweave.operators import kmers, matching
 from seedweave.params import MatchParams
 from seedweave.plans.classify import classify
+from seedweave.sources import index_store
 from seedweave.sources.index_store import read_index, write_index
 
 
@@ -34,7 +36,8 @@ def test_write_and_read(spark, refs, tmp_path):
     try:
         hits = matching.seed_hits(seeds, loaded.postings, loaded.hot, n_seeds=10**12)
         plan = hits._jdf.queryExecution().executedPlan().toString()
-        assert plan.count("Exchange hashpartitioning") == 1
+        # Seeds meet the hot table and then the buckets; the postings stay where they are.
+        assert plan.count("Exchange hashpartitioning") == 3
         few = matching.seed_hits(seeds, index.postings)
         assert hits.exceptAll(few).count() == few.exceptAll(hits).count() == 0
     finally:
@@ -69,6 +72,48 @@ def test_bad_indexes(spark, refs, tmp_path):
         read_index(spark, good, 31, on_error="ignore")
 
 
+def test_lost_files_are_noticed(spark, refs, tmp_path):
+    good, lost, gone = (str(tmp_path / x) for x in ("good", "lost", "gone"))
+    for path in (good, lost, gone):
+        write_index(ix.build_index(refs, 31), path, n_buckets=3)
+    next((tmp_path / "lost" / "postings").glob("part-*.parquet")).unlink()
+    shutil.rmtree(tmp_path / "gone" / "postings")
+    for bad in (lost, gone):
+        with pytest.raises(Exception):
+            read_index(spark, bad, 31)
+        with pytest.warns(UserWarning, match="skipping"):
+            assert read_index(spark, [bad, good], 31, on_error="skip").refs.count() == 12
+
+
+def test_other_failures_are_not_skipped(spark, monkeypatch):
+    def fail(*args):
+        raise ConnectionError("lost")
+
+    monkeypatch.setattr(index_store, "_read_one", fail)
+    with pytest.raises(ConnectionError):
+        read_index(spark, ["anywhere"], 31, on_error="skip")
+
+
+def test_united_stored_indexes_keep_buckets_salts_and_databases(spark, refs, tmp_path):
+    paths = [str(tmp_path / x) for x in "ab"]
+    for path in paths:
+        write_index(ix.build_index(refs, 31), path, n_buckets=3, rows_per_salt=10)
+    both = read_index(spark, paths, 31)
+    nested = ix.union_indexes([both, ix.build_index(refs, 31)])
+    assert [r[0] for r in nested.refs.select("db_id").distinct().orderBy("db_id").collect()] == [0, 1, 2]
+    assert nested.refs.select("ref_id").distinct().count() == 36
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for part in both.parts:
+            hits = matching.seed_hits(kmers.query_seeds(refs, 31), part.postings, part.hot, n_seeds=10**12)
+            plan = hits._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == 3  # seeds twice and the hot table: no postings
+            assert hits.exceptAll(matching.seed_hits(kmers.query_seeds(refs, 31), part.postings.select("db_id", "ref_id", "rpos", "kmer"))).count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_union_offsets(refs):
     one = ix.build_index(refs, 31)
     both = ix.union_indexes([one, one])

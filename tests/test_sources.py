@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seedweave.operators import report
+from seedweave.operators import sequences as seqs
 from seedweave.sources import lookups, results
 from seedweave.sources import sequences as seq_io
 
@@ -59,7 +60,10 @@ def test_accession_map(spark, tmp_path):
 
 
 def test_header_map(spark, tmp_path):
-    (tmp_path / "m.tsv").write_text(">a x\t>b;\"y\nbroken\n")
+    (tmp_path / "bad.tsv").write_text(">a\t>b\nbroken\n")
+    with pytest.raises(Exception, match="no new name|MALFORMED"):
+        lookups.read_header_map(spark, str(tmp_path / "bad.tsv")).collect()
+    (tmp_path / "m.tsv").write_text(">a x\t>b;\"y\n")
     assert [tuple(r) for r in lookups.read_header_map(spark, str(tmp_path / "m.tsv")).collect()] == [(">a x", '>b;"y')]
 
 
@@ -81,6 +85,25 @@ def test_tiers_and_combining(spark, tmp_path):
 
 
 def test_relative_abundance(spark):
-    df = spark.createDataFrame([(">a,>b",), (">a",), (">c",), (">a,>c",)], "headers STRING")
-    got = {r["header"]: r["pct"] for r in report.relative_abundance(df).collect()}
-    assert got == {">a": 75.0, ">c": 25.0}
+    rows = [(1, 5, ">a, primary"), (1, 6, ">b"), (2, 5, ">a, primary"), (3, 7, ">a, alt"), (4, 5, ">a, primary"), (4, 7, ">a, alt")]
+    data = [(q, 1, 1.0, ref, header, 9) for q, ref, header in rows]
+    members = spark.createDataFrame(data, "q BIGINT, grp INT, confident DOUBLE, ref_id BIGINT, header STRING, tax_id INT")
+    winners = report.winning_taxa(report.tax_occurrences(members))
+    got = {r["header"]: r["pct"] for r in report.relative_abundance(members, winners).collect()}
+    assert got == {">a, primary": 75.0, ">a, alt": 25.0}
+
+
+def test_repeated_lookup_keys_do_not_multiply_references(spark):
+    refs = spark.createDataFrame([(1, ">A.1 x"), (2, ">B.1 y")], "ref_id BIGINT, header STRING")
+    taxa = spark.createDataFrame([("A.1", 4), ("A.1", 9), ("A.1", 9)], "accession STRING, tax_id INT")
+    assert sorted((r["ref_id"], r["tax_id"]) for r in seqs.lookup_taxid(refs, taxa).collect()) == [(1, 9), (2, -1)]
+    names = spark.createDataFrame([(">A.1 x", ">n1"), (">A.1 x", ">n;2")], "old STRING, new STRING")
+    assert sorted(r["header"] for r in seqs.translate_headers(refs, names).collect()) == [">B.1 y", ">n_2"]
+
+
+def test_cut_off_fastq_record_is_an_error(spark, tmp_path):
+    (tmp_path / "whole.fq").write_text("@a\nACGT\n+\nIIII\n@b\nAC\n+\nII\n\n")
+    assert [r["seq"] for r in seq_io.read_fastq(spark, str(tmp_path / "whole.fq")).orderBy("seq_id").collect()] == ["ACGT", "AC"]
+    (tmp_path / "cut.fq").write_text("@a\nACGT\n+\nIIII\n@b\nAC\n")
+    with pytest.raises(Exception, match="cut off"):
+        seq_io.read_fastq(spark, str(tmp_path / "cut.fq")).collect()
