@@ -181,7 +181,7 @@ def learn(
     found = quantiles.collect()  # two rows at most
     if not any(r["bad"] for r in found):
         return []
-    bounds = {f: sorted({0.0, *(float(x) for r in found for x in r[f])}) for f in FEATURES}
+    bounds = {f: _with_middles(sorted({0.0, *(float(x) for r in found for x in r[f])})) for f in FEATURES}
     bins = F.array(
         *[
             reduce(lambda a, b: a + b, [(F.col(f) > x).cast("int") for x in bounds[f]])
@@ -204,6 +204,29 @@ def learn(
     return rules
 
 
+def _with_middles(values: list[float]) -> list[float]:
+    """The values and the middles between neighbours, where a gap between two kinds is best cut."""
+    return sorted({*values, *((a + b) / 2 for a, b in zip(values, values[1:]))})
+
+
+def _middle_of_widest(ties: list[tuple[int, bool, int]], bounds) -> tuple[int, bool, int]:
+    """Of conditions that are equally good, the middle one of the statistic that leaves most room for it."""
+
+    def gap(f: int) -> tuple[float, float]:
+        """Between which values the threshold may lie without a difference."""
+        own, of = [b for g, _, b in ties if g == f], bounds[FEATURES[f]]
+        return of[min(own)], of[min(max(own) + 1, len(of) - 1)]
+
+    def room(f: int) -> float:
+        of = bounds[FEATURES[f]]
+        return (gap(f)[1] - gap(f)[0]) / ((of[-1] - of[0]) or 1.0)
+
+    best = max(sorted({f for f, _, _ in ties}), key=room)
+    side = [t for t in ties if t[0] == best]
+    side = [t for t in side if t[1] == side[0][1]]
+    return min(side, key=lambda t: abs(bounds[FEATURES[best]][t[2]] - sum(gap(best)) / 2))
+
+
 def _histogram(rows: DataFrame) -> dict[int, list[tuple[int, int, int]]]:
     """Per statistic the (bin, bad, good) counts: bounded by statistics times bins."""
     counts = (
@@ -228,18 +251,21 @@ def _grow(rows, held, max_conditions, bounds) -> list[tuple[int, bool, int]]:
         if not bad or not good:
             break
         base = math.log2(bad / (bad + good))
-        best = (1e-9, None)
+        best, ties = 1e-9, []
         for f in sorted(counts):
             for b in range(len(bounds[FEATURES[f]])):
                 low = [sum(x[i] for x in counts[f] if x[0] <= b) for i in (1, 2)]
                 for above, (p, n) in ((False, low), (True, (bad - low[0], good - low[1]))):
                     # Bin numbers count the bounds a value exceeds: "above" bound b is bin > b.
-                    if p and p * (math.log2(p / (p + n)) - base) > best[0]:
-                        best = (p * (math.log2(p / (p + n)) - base), (f, above, b))
-        if best[1] is None:
+                    gain = p * (math.log2(p / (p + n)) - base) if p else 0.0
+                    if gain > best + 1e-9:
+                        best, ties = gain, []
+                    if gain > 1e-9 and gain >= best - 1e-9:
+                        ties.append((f, above, b))
+        if not ties:
             break
-        rule.append(best[1])
-        rows = rows.where(held(best[1]))
+        rule.append(_middle_of_widest(ties, bounds))
+        rows = rows.where(held(rule[-1]))
     return rule
 
 

@@ -37,11 +37,11 @@ GRAM = 32
 # Different snippets of one anchor that one task may sort together.
 MOST_SNIPPETS = 2048
 # Snippet bytes that are sorted at once.
-SORT_BYTES = 1 << 19
+SORT_BYTES = 1 << 18
 SHARED_BITS = 24
 # Positions fit the low bits of a packed (hash, position) number.
 _PLACE_BITS = 24
-_LONGEST = 1 << 20
+_LONGEST = 1 << 19
 _ROW = "h BIGINT, c BIGINT, id BIGINT, key INT, at BIGINT, n BIGINT"
 
 
@@ -101,7 +101,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray | None) -> It
     for batch in batches:
         ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         data, offsets = text_buffer(batch.column(2))
-        for first, last in blocks(offsets):
+        for first, last in blocks(offsets, _LONGEST):
             base = int(offsets[first])
             # A single text may be long: it is cut into stretches that share SPAN - 1 bytes.
             ends = range(base, int(offsets[last]), _LONGEST)
