@@ -17,6 +17,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 NONE = np.iinfo(np.int64).max
 # Words kept encoded per Python worker, and the longest word that is kept.
-CACHE_WORDS, CACHE_LENGTH = 200_000, 64
+CACHE_WORDS, CACHE_LENGTH = 400_000, 64
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 _LONE = re.compile("[\udc80-\udcff]")
 # Fixed value: how the library shows the unknown piece.
@@ -69,8 +70,11 @@ class PieceModel:
         bigrams = {chars[a] * self.size + chars[b] for p in ids for a, b in zip(p, p[1:])}
         self.bigrams = np.array(sorted(bigrams), dtype=np.int64)
         self.texts = [p.replace(SPACE, " ") if plain[i] else "" for i, p in enumerate(self.pieces)]
+        for b in range(256):  # bytes beyond ASCII stay apart until they are joined to characters
+            self.texts[self.first_byte + b] = chr(b) if b < 128 else chr(0xDC00 + b)
+        self.names = [str(i) for i in range(n)]
         self.texts[lib.unk_id()] = UNKNOWN
-        self.cache: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.cache: dict[str, tuple[int, ...]] = {}
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (lower is better, NONE if no piece) and piece of each pair of symbols."""
@@ -94,30 +98,38 @@ class PieceModel:
         ids, places = self._merge(symbols, segment, place)
         order = np.argsort(places, kind="stable")
         ids, places = ids[order], places[order]
-        # Symbols that are no pieces become the bytes of their character.
-        out_ids: list[list[int]] = [[] for _ in words]
-        for w, i, p in zip(word[places].tolist(), ids.tolist(), places.tolist()):
-            if i < self.n:
-                out_ids[w].append(i)
-            else:
-                out_ids[w].extend(self.first_byte + b for b in chr(int(codes[p])).encode("utf-8"))
-        return [tuple(x) for x in out_ids]
+        bounds = np.searchsorted(word[places], np.arange(len(words) + 1)).tolist()
+        flat = ids.tolist()
+        for at in np.flatnonzero(ids >= self.n).tolist():
+            # Symbols that are no pieces become the bytes of their character.
+            flat[at] = tuple(self.first_byte + b for b in chr(int(codes[places[at]])).encode("utf-8"))
+        out = []
+        for a, b in zip(bounds, bounds[1:]):
+            own = tuple(flat[a:b])
+            if any(type(i) is tuple for i in own):
+                own = tuple(x for i in own for x in (i if type(i) is tuple else (i,)))
+            out.append(own)
+        return out
 
     def _merge(self, symbols: np.ndarray, segment: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols left when no pair of a segment remains, with the places where they begin."""
         done: list[tuple[np.ndarray, np.ndarray]] = []
-        while len(symbols) > 1:
-            rank, piece = self.ranks(symbols[:-1], symbols[1:])
-            rank[segment[1:] != segment[:-1]] = NONE
+        if not len(symbols):
+            return symbols, place
+        # Rank and piece of the pair that begins at each symbol; only pairs next to a merge change.
+        rank, piece = np.full(len(symbols), NONE), np.zeros(len(symbols), np.int64)
+        inner = np.flatnonzero(segment[1:] == segment[:-1])
+        rank[inner], piece[inner] = self.ranks(symbols[inner], symbols[inner + 1])
+        while len(symbols):
             start = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
             index = np.cumsum(np.concatenate([[0], segment[1:] != segment[:-1]]))
-            best = np.minimum.reduceat(np.append(rank, NONE), start)
+            best = np.minimum.reduceat(rank, start)
             alive = best[index] != NONE
             if not alive.all():
                 done.append((symbols[~alive], place[~alive]))
-                symbols, segment, place = symbols[alive], segment[alive], place[alive]
+                symbols, segment, place, rank, piece = (x[alive] for x in (symbols, segment, place, rank, piece))
                 continue
-            chosen = rank == best[index[:-1]]
+            chosen = rank == best[index]
             # Of overlapping pairs every other one merges, from the left.
             position = np.arange(len(chosen))
             run = np.maximum.accumulate(np.where(chosen & ~np.concatenate([[False], chosen[:-1]]), position, -1))
@@ -144,7 +156,12 @@ class PieceModel:
             symbols[merges] = merged
             keep = np.ones(len(symbols), dtype=bool)
             keep[merges + 1] = False
-            symbols, segment, place = symbols[keep], segment[keep], place[keep]
+            symbols, segment, place, rank, piece = (x[keep] for x in (symbols, segment, place, rank, piece))
+            spots = merges - np.arange(len(merges))
+            spots = np.unique(np.concatenate([spots, spots[spots > 0] - 1]))
+            inner = spots[(spots + 1 < len(symbols)) & (segment[np.minimum(spots + 1, len(symbols) - 1)] == segment[spots])]
+            rank[spots] = NONE
+            rank[inner], piece[inner] = self.ranks(symbols[inner], symbols[inner + 1])
         done.append((symbols, place))
         return np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
 
@@ -154,47 +171,35 @@ class PieceModel:
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         fresh = list({w for ws in words for w in ws} - self.cache.keys())
-        own: dict[str, tuple[int, ...]] = {}
         for at in range(0, len(fresh), 50_000):
             part = fresh[at : at + 50_000]
-            for w, ids in zip(part, self.encode_words(part)):
-                (self.cache if len(w) <= CACHE_LENGTH and len(self.cache) <= CACHE_WORDS else own)[w] = ids
-        find = {**own, **self.cache} if own and len(own) > 1000 else None
-        out = []
-        for ws in words:
-            ids: list[int] = []
-            for w in ws:
-                ids += find[w] if find else self.cache.get(w) or own[w]
-            out.append(ids)
+            self.cache.update(zip(part, self.encode_words(part)))
+        out = [list(chain.from_iterable(map(self.cache.__getitem__, ws))) for ws in words]
+        for w in fresh:
+            if len(w) > CACHE_LENGTH:
+                del self.cache[w]
         return out
 
+    def show(self, ids: list[int]) -> str:
+        """The ids in decimal, joined by commas."""
+        return ",".join(map(self.names.__getitem__, ids))
+
     def decode(self, ids: list[int]) -> str:
         """Text of piece ids: bytes join to characters, and the first word's space is taken off."""
         if not ids:
             return ""
-        low, high = self.first_byte, self.first_byte + 256
-        if all(i >= high for i in ids):
-            text = "".join(map(self.texts.__getitem__, ids))
-        else:
-            parts: list[str] = []
-            run = bytearray()
-            for i in ids:
-                if low <= i < high:
-                    run.append(i - low)
-                    continue
-                if run:
-                    parts.append(_characters(run))
-                    run = bytearray()
-                parts.append(self.texts[i])
-            parts.append(_characters(run))
-            text = "".join(parts)
-        first = next((self.pieces[i] for i in ids if self.texts[i] or low <= i < high), "")
+        # A control piece shows nothing, but bytes do not join across it.
+        parts = [ids] if min(ids) >= self.first_byte else [list(own) for shown, own in groupby(ids, lambda i: self.texts[i] != "") if shown]
+        text = "".join(_characters("".join(map(self.texts.__getitem__, own))) for own in parts)
+        first = next((self.pieces[i] for i in ids if self.texts[i]), "")
         return text[1:] if first.startswith(SPACE) else text
 
 
-def _characters(run: bytearray) -> str:
-    """Text of a run of byte pieces; every byte of no valid character is one U+FFFD."""
-    return _LONE.sub("\ufffd", run.decode("utf-8", "surrogateescape"))
+def _characters(text: str) -> str:
+    """The text with its runs of bytes joined to characters; every byte of no valid character is one U+FFFD."""
+    if not _LONE.search(text):
+        return text
+    return _LONE.sub("\ufffd", text.encode("utf-8", "surrogateescape").decode("utf-8", "surrogateescape"))
 
 
 @lru_cache(maxsize=2)
@@ -232,7 +237,7 @@ def digests(docs: DataFrame, model_path: str) -> DataFrame:
         for batch in batches:
             for part in _slices(batch, 1):
                 ids = model.encode([t or "" for t in part.column(1).to_pylist()])
-                shown = [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids]
+                shown = [hashlib.sha256(model.show(x).encode()).hexdigest() for x in ids]
                 back = [hashlib.sha256(model.decode(x).encode()).hexdigest() for x in ids]
                 arrays = [part.column(0), pa.array(list(map(len, ids)), pa.int64()), pa.array(shown), pa.array(back)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
