@@ -36,15 +36,16 @@ RECORD_SCHEMA = (
 )
 
 
-def mark_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
+def mark_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES, partitions: int | None = None) -> DataFrame:
     """``pages`` (page_id, url, html) as captures: payload facts and what a revisit refers to.
 
     Of rows with equal payloads of at least ``min_bytes`` bytes the one with
     the smallest page_id is the response.  A null html is an empty payload, a
     row without page_id is always a response, and of rows that repeat page_id
     and payload the first is the response and the others revisit it.  The
-    payload moves once, by page_id; which payloads are equal is found from
-    digests alone, and a payload that very many pages share is a sum per task.
+    payload moves once, by page_id and digest, into ``partitions`` if given;
+    which payloads are equal is found from digests alone, and a payload that
+    very many pages share is a sum per task.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     facts = pages.select(
@@ -61,7 +62,8 @@ def mark_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataF
     later = later.select("page_id", "payload_digest", "first_id")
     repeat = F.row_number().over(Window.partitionBy("page_id", "payload_digest").orderBy("url"))
     again = (repeat > 1) & long_enough
-    marked = facts.join(later, ["page_id", "payload_digest"], "left").withColumn("copy_no", repeat)
+    placed = facts.repartition(partitions, "page_id", "payload_digest") if partitions else facts
+    marked = placed.join(later, ["page_id", "payload_digest"], "left").withColumn("copy_no", repeat)
     return marked.select(
         "page_id", "url", "payload", "payload_bytes", "payload_digest", "copy_no",
         F.coalesce("first_id", F.when(again, F.col("page_id"))).alias("refers_to"),
@@ -135,7 +137,7 @@ def write_archive(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTE
     """
     total = pages.agg(F.sum(F.octet_length("html").cast("bigint"))).first()[0] or 0
     n_files = max(1, math.ceil(total / archive_bytes))
-    marked = mark_revisits(pages.repartition(n_files, "page_id") if n_files > 1 else pages)
+    marked = mark_revisits(pages, partitions=n_files)
     records_of(marked).write.option("lineSep", RECORD_END).option("compression", "gzip").text(path)
 
 
