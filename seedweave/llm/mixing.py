@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seedweave.llm.common import hash_fraction
+from seedweave.session import broadcast_if_small, write_stage
 
 # Means above this are drawn as a sum of a whole part and a Poisson rest.
 MOST_MEAN = 16.0
@@ -71,8 +72,9 @@ def mixed(docs: DataFrame, weights: dict[str, float], other: float = 1.0, epoch:
     """``docs`` with ``copies`` and ``copy_no`` (from 1): one row per copy, not yet shuffled.
 
     Rates are found per source and brought to the documents by a join on the
-    source; their table has a row per source, and a source with any share of
-    the documents is split by the join or not shuffled at all.  A document
+    source; their table has a row per source and is broadcast while its counted
+    size is small, so that a source with any share of the documents stays
+    where it is; beyond that the join splits it.  A document
     drawn 0 times is left out: that is what a rate below 1 means.  A row's
     draw depends on doc_id alone (null is hashed as an empty string), so
     repeated rows are drawn alike.  An empty table gives an empty table.
@@ -82,6 +84,7 @@ def mixed(docs: DataFrame, weights: dict[str, float], other: float = 1.0, epoch:
     part = F.col("__mean") - whole
     u = hash_fraction(F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     named = rates.select(F.col("source").alias("__source"), F.col("mean").alias("__mean"))
+    named = broadcast_if_small(write_stage(named, "rates"), width=256)
     drawn = docs.join(named, F.col("source").eqNullSafe(F.col("__source"))).withColumn(
         "copies", (poisson_inverse(u, part, most_copies(MOST_MEAN + 1)) + whole).cast("int")
     )
