@@ -223,6 +223,9 @@ STAGES: dict[str, str] = {
     "two_db_scores": _scores("two_db_segments", T),
     "two_db_groups": _groups("two_db_scores"),
     "two_db_members": _members("two_db_groups", "dna_refs"),
+    "cut_texts": """SELECT db_id, ref_id * 10 + chunk AS ref_id, header, substr(seq, chunk * 128 + 1, 128) AS seq, tax_id
+                    FROM (SELECT *, unnest(range(0, (length(seq) + 127) // 128)) AS chunk FROM dna_refs)""",
+    **_chain("cut", "SELECT * FROM cut_texts", "SELECT * FROM dna_reads", T, both=True),
     **_chain("short", "SELECT * FROM dna_refs", "SELECT * FROM dna_reads", 18, both=True),
 }
 
@@ -383,6 +386,7 @@ _SQL: dict[str, str] = {
     "classify": f"SELECT {RESULT} FROM dna_results",
     "classify_all_groups": f"SELECT {RESULT} FROM all_results",
     "classify_text": f"SELECT {RESULT} FROM text_results",
+    "classify_split": "SELECT q, grp, confident, header, tax_id FROM cut_members",
     "classify_short": f"SELECT {RESULT} FROM short_results",
     "classify_fast": f"SELECT {RESULT} FROM quick_results",
     # taxon vote and report

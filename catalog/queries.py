@@ -658,6 +658,15 @@ def classify_short(spark, sf_dir):
     return plans.classify(dna_reads(spark, sf_dir), index, 18).drop("confident_text")
 
 
+@query
+def classify_split(spark, sf_dir):
+    """References cut into chunks, each of which is a reference of its own."""
+    chunks = seqs.split_reference(dna_refs(spark, sf_dir).drop("ref_len"), 128).drop("chunk_no")
+    index = ix.build_index(seqs.number_rows(chunks, "ref_id"), THRESHOLD)
+    grouped = plans.classify_scores(dna_reads(spark, sf_dir), index, threshold=THRESHOLD)
+    return report.with_reference(grouped, index.refs).select("q", "grp", "confident", "header", "tax_id")
+
+
 @query
 def classify_fast(spark, sf_dir):
     return plans.classify_fast(dna_reads(spark, sf_dir), dna_index(spark, sf_dir), threshold=THRESHOLD).drop(
