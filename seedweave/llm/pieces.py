@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 NONE = np.iinfo(np.int64).max
 # Words kept encoded per Python worker, and the longest word that is kept.
-CACHE_WORDS, CACHE_LENGTH = 400_000, 64
+CACHE_WORDS, CACHE_LENGTH = 150_000, 64
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 _LONE = re.compile("[\udc80-\udcff]")
 # Fixed value: how the library shows the unknown piece.
@@ -171,8 +171,8 @@ class PieceModel:
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         fresh = list({w for ws in words for w in ws} - self.cache.keys())
-        for at in range(0, len(fresh), 50_000):
-            part = fresh[at : at + 50_000]
+        for at in range(0, len(fresh), 20_000):
+            part = fresh[at : at + 20_000]
             self.cache.update(zip(part, self.encode_words(part)))
         out = [list(chain.from_iterable(map(self.cache.__getitem__, ws))) for ws in words]
         for w in fresh:
@@ -246,7 +246,7 @@ def digests(docs: DataFrame, model_path: str) -> DataFrame:
     return narrow.mapInArrow(run, "doc_id BIGINT, n_tokens BIGINT, ids_sha256 STRING, decoded_sha256 STRING")
 
 
-def _slices(batch: pa.RecordBatch, text_column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, text_column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in parts of about ``most`` text bytes, one row at least."""
     sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(text_column)), 0).to_numpy(zero_copy_only=False))
     at = 0
