@@ -15,37 +15,48 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seedweave.llm.common import hash_fraction
+from seedweave.llm.common import hash_fraction, let
 from seedweave.session import broadcast_if_small, write_stage
 
-# Means above this are drawn as a sum of a whole part and a Poisson rest.
-MOST_MEAN = 16.0
+# Up to this mean exp(-mean) is a normal number and terms are summed from 0.
+SUM_FROM_ZERO = 700.0
 
 
-def most_copies(mean: float) -> int:
-    """Terms of the distribution that matter: beyond them its tail is below 2**-52."""
-    term = total = math.exp(-mean)
-    k = 0
-    while total < 1 - 2**-53 and k < mean + 20 * math.sqrt(mean) + 60:
-        k += 1
-        term *= mean / k
-        total += term
-    return k
+def most_copies(mean: Column | float) -> Column:
+    """A count beyond which the distribution's tail is below 2**-53 (Bernstein's bound)."""
+    mean = F.lit(mean)
+    return F.ceil(mean + 12.34 + F.sqrt(74 * mean + 153)).cast("int")
 
 
-def poisson_inverse(u: Column, mean: Column, top: int) -> Column:
+def _first_term(mean: Column) -> tuple[Column, Column]:
+    """(k, P(X = k)) where summing starts: 0, or 9 deviations below a large mean, with less than 2**-53 before it."""
+    k = F.floor(mean - 9 * F.sqrt(mean)).cast("double")
+    # Stirling's series for k!, written so that no large numbers cancel.
+    log_term = (k - mean) - k * F.log1p((k - mean) / mean) - F.log(2 * math.pi * k) / 2 - 1 / (12 * k) + 1 / (360 * k * k * k)
+    near = mean <= SUM_FROM_ZERO
+    return F.when(near, F.lit(0)).otherwise(k.cast("int")), F.when(near, F.exp(-mean)).otherwise(F.exp(log_term))
+
+
+def poisson_inverse(u: Column, mean: Column, top: Column | int) -> Column:
     """The smallest k with P(X <= k) > u for a Poisson X, at most ``top``.
 
-    Terms are summed upwards as term(k) = term(k - 1) * mean / k.
+    Terms are summed upwards as term(k) = term(k - 1) * mean / k, at any mean;
+    a large mean only skips terms that together are below the steps of ``u``.
     """
-    start = F.struct(F.exp(-mean).alias("term"), F.exp(-mean).alias("total"), F.lit(0).alias("k"))
+    first, term = _first_term(mean)
+
+    def inverse(given: Column) -> Column:
+        start = F.struct(given["term"].alias("term"), given["term"].alias("total"), given["first"].alias("k"))
+
+        def step(s: Column, i: Column) -> Column:
+            term = s["term"] * given["mean"] / i
+            more = F.struct(term.alias("term"), (s["total"] + term).alias("total"), (s["k"] + 1).alias("k"))
+            return F.when(given["u"] < s["total"], s).otherwise(more)
 
-    def step(s: Column, i: Column) -> Column:
-        term = s["term"] * mean / i
-        more = F.struct(term.alias("term"), (s["total"] + term).alias("total"), (s["k"] + 1).alias("k"))
-        return F.when(u < s["total"], s).otherwise(more)
+        ks = F.transform(F.sequence(given["first"] + 1, F.greatest(given["top"], given["first"] + 1)), lambda i: i.cast("double"))
+        return F.aggregate(ks, start, step, lambda s: s["k"])
 
-    return F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(top)), lambda i: i.cast("double")), start, step, lambda s: s["k"])
+    return let(F.struct(u.alias("u"), mean.alias("mean"), F.lit(top).alias("top"), first.alias("first"), term.alias("term")), inverse)
 
 
 def repetition_rates(docs: DataFrame, weights: dict[str, float], other: float, epoch: float = 1.0) -> DataFrame:
@@ -80,13 +91,12 @@ def mixed(docs: DataFrame, weights: dict[str, float], other: float = 1.0, epoch:
     repeated rows are drawn alike.  An empty table gives an empty table.
     """
     rates = repetition_rates(docs, weights, other, epoch)
-    whole = F.floor(F.greatest(F.col("__mean") - MOST_MEAN, F.lit(0.0)))
-    part = F.col("__mean") - whole
+    mean = F.col("__mean")
     u = hash_fraction(F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     named = rates.select(F.col("source").alias("__source"), F.col("mean").alias("__mean"))
     named = broadcast_if_small(write_stage(named, "rates"), width=256)
     drawn = docs.join(named, F.col("source").eqNullSafe(F.col("__source"))).withColumn(
-        "copies", (poisson_inverse(u, part, most_copies(MOST_MEAN + 1)) + whole).cast("int")
+        "copies", poisson_inverse(u, mean, most_copies(mean))
     )
     shown = drawn.drop("__source", "__mean").where(F.col("copies") > 0)
     return shown.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies"))))
