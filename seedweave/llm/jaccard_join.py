@@ -317,6 +317,11 @@ def link_regions(regions: DataFrame, texts: DataFrame) -> DataFrame:
     return _merge(components, write_stage(found, "links"))
 
 
+def _wordless() -> Column:
+    """Whether the row's text has no shingle."""
+    return F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\f\r")) == ""
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text).
 
@@ -329,7 +334,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     signed = write_stage(signatures(docs), "signatures")
     reps = signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
-    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("doc"), "text")
+    texts = docs.where(F.col("doc_id").isNotNull() & ~_wordless()).select(F.col("doc_id").alias("doc"), "text")
     chosen = may_link(texts).join(reps.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi")
     texts = write_stage(prefilter.semi_join(texts, write_stage(chosen, "chosen"), "doc"), "texts")
     linked = link_regions(first_regions(texts), texts)
@@ -341,11 +346,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """Of each component the documents row with the smallest doc_id; rows without one stay.
 
+    Of several rows with that doc_id the one with the smallest digest of its
+    text stays (then of its other columns), one with words before one without.
     Only rows that may have to go are moved to meet the verdict on them.
     """
     found = write_stage(jaccard_components(docs).where(F.col("doc_id").isNotNull()), "found")
     gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     twice = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("doc_id")
     near, far = prefilter.split(docs.where(F.col("doc_id").isNotNull()), gone.unionByName(twice), "doc_id")
-    kept = near.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
+    rest = F.to_json(F.struct(*[c for c in docs.columns if c != "text"]))
+    order = F.struct(_wordless().alias("wordless"), F.md5(F.col("text").cast("binary")).alias("text"), F.md5(rest.cast("binary")).alias("rest"))
+    left = near.join(gone, "doc_id", "left_anti").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias("row"))
+    kept = left.select(*[F.col("row")[c].alias(c) for c in docs.columns])
     return kept.unionByName(far).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -73,6 +73,21 @@ def test_rows_without_id_repeated_rows_and_extra_columns(spark, documents):
     assert kept.columns == docs.columns
 
 
+@pytest.mark.parametrize("empty", [None, " \n"])
+def test_repeated_ids_with_an_empty_text_in_unsettled_groups(documents, empty):
+    texts = corpus(1)
+    docs = documents(texts + [(i, empty) for i, text in texts if shingles(text)]).repartition(4)
+    got = jaccard_join.jaccard_components(docs).where("n_shingles > 0").collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: x for i, x in brute(texts).items() if x[0]}
+
+
+def test_the_row_of_a_repeated_id_that_stays_is_always_the_same(documents):
+    rows = [(i, text) for i in range(40) for text in (None, "", f"one text of {i}", f"another text of {i}")]
+    kept = {order: sorted((r["doc_id"], r["text"]) for r in jaccard_join.keep_one(documents(rows[::order]).repartition(3)).collect()) for order in (1, -1)}
+    assert kept[1] == kept[-1]
+    assert [i for i, _ in kept[1]] == list(range(40)) and all(text for _, text in kept[1])
+
+
 def test_empty_table(documents):
     assert jaccard_join.jaccard_components(documents([])).count() == 0
 
