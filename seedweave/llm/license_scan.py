@@ -2,11 +2,12 @@
 
 A template with s shingles is looked for in windows of about 1.25 s shingles,
 laid so that any stretch of s shingles lies wholly in one of them.  A window
-and a template become a candidate pair when they agree in a band: the smallest
-shingle hash under that band's permutation is the same.  ``bands_for`` chooses
-the number of bands so that a window which contains at least ``CONTAINMENT``
-of a template agrees somewhere with at least ``COLLISION`` probability.  Then
-the share of the template's shingles that the window has decides exactly.
+and a template become a candidate pair when they agree in a band: the shingle
+that a band's own hash makes smallest is the same.  Each template gets as many
+bands as it takes for a window which contains at least ``CONTAINMENT`` of it,
+whichever of its shingles they are, to agree somewhere with at least
+``COLLISION`` probability over the other shingles of the window.  Then the
+share of the template's shingles that the window has decides exactly.
 
 A template's smallest hashes are a few dozen numbers, so windows are only
 looked at around shingles that are one of them: all other windows cannot agree
@@ -71,7 +72,7 @@ class Template:
     shingles: tuple[int, ...]  # hashes, distinct
     window: int  # shingles in a window
     stride: int
-    minima: tuple[tuple[int, int], ...]  # (band, smallest hash under it)
+    minima: tuple[tuple[int, int], ...]  # (band, shingle with the smallest hash there)
 
 
 def template_words(text: str) -> list[str]:
@@ -79,15 +80,43 @@ def template_words(text: str) -> list[str]:
 
 
 def bands_for(shingles: int, window: int) -> int:
-    """Bands of one hash, so that a window with enough of a template agrees in one with probability COLLISION."""
+    """Independent bands that let a window with enough of an average template agree in one with probability COLLISION."""
     inside = math.ceil(CONTAINMENT * shingles)
     least = inside / (window + shingles - inside)
     return 1 if least >= 1 else math.ceil(math.log(1 - COLLISION) / math.log(1 - least))
 
 
-def band_seed(band: int) -> int:
-    """The number that permutes hashes for a band (by exclusive or), as a signed 64-bit number."""
-    return int.from_bytes(xxhash.xxh64(f"band {band}", seed=7).digest(), "big", signed=True)
+def band_hash(shingle: int, band: int) -> int:
+    """The hash that Spark's xxhash64 gives for a shingle's hash and the band's number, both as long."""
+    return _signed(xxhash.xxh64_intdigest(_long(band), seed=xxhash.xxh64_intdigest(_long(shingle), seed=42)))
+
+
+def _long(x: int) -> bytes:
+    return x.to_bytes(8, "little", signed=True)
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def minima_of(hashes: tuple[int, ...], window: int) -> tuple[tuple[int, int], ...]:
+    """(band, shingle with the smallest hash there) of as many bands as keep the promise of COLLISION.
+
+    A band is lost when its smallest shingle is missing from a window, or when
+    one of the window's other shingles is smaller.  The hashes of a template
+    are fixed, so it is known which missing shingles lose most: the promise is
+    kept for these, and so for any others.
+    """
+    inside = math.ceil(CONTAINMENT * len(hashes))
+    others = window - inside
+    worth = dict.fromkeys(hashes, 0.0)  # of a shingle: -log of the chance that all its bands are lost
+    minima: list[tuple[int, int]] = []
+    while len(minima) < bands_for(len(hashes), window) or sum(sorted(worth.values())[:inside]) < -math.log(1 - COLLISION):
+        band = len(minima)
+        smallest, h = min((band_hash(h, band), h) for h in hashes)
+        minima.append((band, h))
+        worth[h] -= math.log(max(1e-300, 1 - (1 - (smallest + (1 << 63)) / (1 << 64)) ** others))
+    return tuple(minima)
 
 
 def templates_from(texts: dict[str, str]) -> list[Template]:
@@ -100,9 +129,7 @@ def templates_from(texts: dict[str, str]) -> list[Template]:
         hashes = tuple(dict.fromkeys(shingle_hash(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)))
         span = len(words) - SHINGLE + 1
         window = math.ceil(WINDOW * span)
-        bands = bands_for(len(hashes), window)
-        minima = tuple((b, min((h ^ band_seed(b) for h in hashes)) ^ band_seed(b)) for b in range(bands))
-        out.append(Template(name, hashes, window, window - span + 1, minima))
+        out.append(Template(name, hashes, window, window - span + 1, minima_of(hashes, window)))
     return out
 
 
@@ -111,7 +138,7 @@ def shingle_hash(words: list[str]) -> int:
     seed = 42
     for word in words:
         seed = xxhash.xxh64_intdigest(word.encode(), seed=seed)
-    return seed - (1 << 64) if seed >= 1 << 63 else seed
+    return _signed(seed)
 
 
 def _hashes(words: Column) -> Column:
@@ -122,11 +149,11 @@ def _hashes(words: Column) -> Column:
 
 
 def _minima(templates: list[Template]) -> Column:
-    """Array of (h, seed, name, window, stride, shingles): the bands' smallest hashes of all templates."""
+    """Array of (h, band, name, window, stride, shingles): the bands' smallest hashes of all templates."""
     rows = [
         F.struct(
             F.lit(h).cast("bigint").alias("h"),
-            F.lit(band_seed(b)).cast("bigint").alias("seed"),
+            F.lit(b).cast("bigint").alias("band"),
             F.lit(t.name).alias("name"),
             F.lit(t.window).alias("window"),
             F.lit(t.stride).alias("stride"),
@@ -165,9 +192,9 @@ def windows_near(docs: DataFrame, templates: list[Template]) -> DataFrame:
     starts = F.transform(F.sequence(low, F.floor(F.col("m.i") / F.col("t.stride"))), lambda w: (w * F.col("t.stride")).cast("int"))
     placed = banded.withColumn("first", F.explode(starts))
     window = F.slice("m.near", (F.col("first") - F.col("m.start") + 1).cast("int"), F.col("t.window"))
-    cut = placed.select("doc_id", "first", "m.h", "t.seed", "t.name", "t.shingles", window.alias("window"))
-    smallest = F.array_min(F.transform("window", lambda x: x.bitwiseXOR(F.col("seed"))))
-    agreeing = cut.where(smallest == F.col("h").bitwiseXOR(F.col("seed")))
+    cut = placed.select("doc_id", "first", "m.h", "t.band", "t.name", "t.shingles", window.alias("window"))
+    smallest = F.array_min(F.transform("window", lambda x: F.xxhash64(x, F.col("band"))))
+    agreeing = cut.where(smallest == F.xxhash64("h", "band"))
     held = F.size(F.array_intersect("shingles", "window")) / F.size("shingles")
     return agreeing.select("doc_id", "name", "first", held.alias("held"))
 
