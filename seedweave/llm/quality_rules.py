@@ -162,7 +162,7 @@ def verdict(rules: list[Rule], at: At = F.col) -> Column:
 def learn(
     labelled: DataFrame,
     label: str = "quality",
-    max_rules: int = 8,
+    max_rules: int | None = None,
     max_conditions: int = 3,
     min_precision: float = 0.8,
     min_covered: int = 5,
@@ -171,7 +171,9 @@ def learn(
     """Ordered rejection rules from rows of ``FEATURES`` and ``label`` (0 is bad).
 
     ``n_bins`` quantiles per statistic are the thresholds tried; statistics
-    that are mostly one value also get a threshold just at that value.
+    that are mostly one value also get a threshold just at that value.  Rules
+    are added until the next one is not precise enough or covers too few rows;
+    each takes rows away, so this ends without ``max_rules``.
     """
     probs = [i / n_bins for i in range(1, n_bins)]
     rows = labelled.where(F.col(label).isNotNull())
@@ -192,7 +194,7 @@ def learn(
     rest = write_stage(rows.select(bins.alias("bins"), fold.alias("prune"), (F.col(label) == 0).alias("bad")), "rule-bins")
     held = lambda c: F.col("bins")[c[0]] > c[2] if c[1] else F.col("bins")[c[0]] <= c[2]
     rules: list[Rule] = []
-    while len(rules) < max_rules:
+    while max_rules is None or len(rules) < max_rules:
         grown = _grow(rest.where(~F.col("prune")), held, max_conditions, bounds)
         if not grown:
             break

@@ -71,3 +71,12 @@ def test_worst_label_counts(spark):
     stats = spark.createDataFrame([(1, *[1.0] * len(q.FEATURES))], ["doc_id", *q.FEATURES])
     labels = spark.createDataFrame([(1, 1), (1, 0), (1, None)], "doc_id BIGINT, quality INT")
     assert [r["quality"] for r in q.labelled_stats(stats, labels).collect()] == [0]
+
+
+def test_precise_rules_are_not_counted_off(spark, shared_folder, monkeypatch):
+    rows = [(i, *[float(i)] * len(q.FEATURES), i % 2) for i in range(60)]
+    stats = spark.createDataFrame(rows, ["doc_id", *q.FEATURES, "quality"])
+    grown = iter([[(0, True, 40 - i)] for i in range(12)])
+    monkeypatch.setattr(q, "_grow", lambda *_: next(grown, []))
+    monkeypatch.setattr(q, "_prune", lambda rows, held, rule: (rule, 9, 0))
+    assert len(q.learn(stats)) == 12
