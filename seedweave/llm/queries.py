@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seedweave.llm import jaccard_join, language_id, license_scan, mixing, nearest, pieces, quality_rules, suffix_dedup, token_counts, warc
+from seedweave.llm import decontamination, importance, jaccard_join, language_id, lexical, license_scan, mixing, nearest, pieces, quality_rules, suffix_dedup, token_counts, warc
 from seedweave.llm.common import table
 from seedweave.session import path_join, provide_stage_root, stage_root
 
@@ -166,6 +166,112 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.BASE_STATS, "base_failed", "kept", "rule")
 
 
+# Words of letters and digits, with A-Z in lower case, in DuckDB.
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranking(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = f"""
+WITH w AS (
+  SELECT doc_id, unnest({_WORDS}) AS term FROM documents
+), p AS (
+  SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL
+), d AS (
+  SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM p GROUP BY doc_id
+), s AS (
+  SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM d
+), m AS (
+  SELECT doc_id, 100 - 90 + ((90 * n * big_n) // big_l) AS m FROM d, s
+), t AS (
+  SELECT term, CAST(floor(1000 * ln((2 * big_n + 2) / (2 * df + 1))) AS BIGINT) AS weight
+  FROM (SELECT term, count(*) AS df FROM p GROUP BY term), s
+), q AS (
+  SELECT DISTINCT item_id, unnest({_WORDS}) AS term FROM benchmark
+), r AS (
+  SELECT item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM q JOIN t USING (term) JOIN p USING (term) JOIN m USING (doc_id) GROUP BY ALL
+), o AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM r WHERE score > 0
+)
+SELECT * FROM o WHERE rank <= 10
+"""
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+OP12_SQL = f"""
+WITH d AS (
+  SELECT doc_id, {_WORDS} AS w FROM documents
+), i AS (
+  SELECT item_id, w, least(len(w), 10) AS n FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0
+), iw AS (
+  SELECT DISTINCT item_id, n, array_to_string(list_slice(w, pos, pos + n - 1), ' ') AS span
+  FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS pos FROM i)
+), dw AS (
+  SELECT doc_id, n, pos, array_to_string(list_slice(w, pos, pos + n - 1), ' ') AS span
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS pos FROM d, (SELECT DISTINCT n FROM i))
+), h AS (
+  SELECT doc_id, item_id, n, pos FROM dw JOIN iw USING (n, span)
+), c AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit
+  FROM (SELECT DISTINCT doc_id, unnest(range(pos, pos + n)) AS place FROM h) GROUP BY doc_id
+), l AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)
+"""
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resampling(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+# crc32 of a word, bit by bit: each byte is followed by seven zeros, so that eight steps are taken a byte.
+_CRC_BITS = "flatten(list_transform(range(1, strlen(f) + 1), lambda i: [CAST('0x' || substr(hex(f), 2 * i - 1, 2) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))"
+_CRC32 = f"xor(list_reduce(list_prepend(4294967295, {_CRC_BITS}), lambda c, e: xor(xor(c, e) >> 1, 3988292384 * (xor(c, e) & 1))), 4294967295)"
+
+OP13_SQL = f"""
+WITH d AS (
+  SELECT doc_id, unnest({_WORDS}) AS f FROM documents
+), b AS (
+  SELECT unnest({_WORDS}) AS f FROM benchmark
+), v AS (
+  SELECT f, CAST({_CRC32} % 10000 AS BIGINT) AS bucket FROM (SELECT f FROM d UNION SELECT f FROM b)
+), s AS (
+  SELECT bucket, count(*) AS s FROM d JOIN v USING (f) GROUP BY bucket
+), t AS (
+  SELECT bucket, count(*) AS t FROM b JOIN v USING (f) GROUP BY bucket
+), g AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM d) + 10000) / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM b) + 10000)))) AS BIGINT) AS gain
+  FROM s FULL JOIN t USING (bucket)
+), x AS (
+  SELECT doc_id, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM d JOIN v USING (f) JOIN g USING (bucket) GROUP BY doc_id
+), y AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) AS h
+  FROM documents LEFT JOIN x USING (doc_id)
+), z AS (
+  SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM y
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place FROM z
+)
+SELECT doc_id, n_features, weight, score,
+  CASE WHEN n_features >= 20 AND place <= 10 * (SELECT count(*) FROM z WHERE n_features >= 20) // 100 THEN place END AS rank
+FROM r
+"""
+
+
 def _ready(query: Query) -> Query:
     """The query, with a stage folder for local sessions that have none."""
 
@@ -187,8 +293,19 @@ _QUERIES: dict[str, Query] = {
     "op8_token_counts": op8_token_counts,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_decontamination": op12_decontamination,
+    "op13_importance": op13_importance,
 }
 
 QUERIES = {name: _ready(query) for name, query in _QUERIES.items()}
 
-ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op3_license_scan": license_scan.scan_sql(), "op7_mixing": OP7_SQL, "op8_token_counts": OP8_SQL}
+ORACLES: dict[str, str] = {
+    "op2_warc": OP2_SQL,
+    "op3_license_scan": license_scan.scan_sql(),
+    "op7_mixing": OP7_SQL,
+    "op8_token_counts": OP8_SQL,
+    "op11_lexical_search": OP11_SQL,
+    "op12_decontamination": OP12_SQL,
+    "op13_importance": OP13_SQL,
+}
