@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seedweave.llm.common import let, words_of
-from seedweave.session import write_stage
+from seedweave.session import broadcast_if_small, write_stage
 
 BASE_STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MIN_WORDS = 50
@@ -287,7 +287,8 @@ def _prune(rows, held, grown) -> tuple[list[tuple[int, bool, int]], int, int]:
 def labelled_stats(stats: DataFrame, labels: DataFrame) -> DataFrame:
     """Statistics rows that have a label; a document labelled twice counts as its worst label."""
     worst = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("__label"))
-    narrow = stats.select("doc_id", *FEATURES).dropDuplicates(["doc_id"])
+    # Of rows with one doc_id that with the smallest statistics, whichever task is first.
+    narrow = stats.groupBy("doc_id").agg(F.min(F.struct(*FEATURES)).alias("least")).select("doc_id", "least.*")
     return narrow.join(worst, "doc_id").withColumnRenamed("__label", "quality")
 
 
@@ -307,10 +308,13 @@ def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that neither the base rules nor a learned rule rejects, with their own columns.
 
-    The text is read twice instead of shuffled: once for the statistics that
-    teach the rules, once to apply them in place.
+    The text is read twice: once for the statistics of labelled rows, which
+    teach the rules, once to apply them in place.  While the labelled ids are
+    few enough to be broadcast, no text is shuffled.
     """
-    learned = with_stats(docs.select("doc_id", "text")).select("doc_id", "stats.*")
+    ids = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    labelled = docs.select("doc_id", "text").join(broadcast_if_small(ids), "doc_id", "left_semi")
+    learned = with_stats(labelled).select("doc_id", "stats.*")
     rules = rules_for(write_stage(learned, "text-stats"), labels, **options)
     judged = with_stats(docs, prefix="__")
     of = lambda name: F.col("__stats")[name]

@@ -8,13 +8,19 @@ To find all such strings without sorting all suffixes together:
    neighbouring windows mostly share theirs, so a text is covered by one
    snippet per anchor, the stretch of all windows that have it.
 2. Anchors that occur once are dropped, as are all windows under them.
-3. Snippets that are equal as a whole (anchor and content hash, 64 bits each,
-   and length) repeat as a whole; counts tell so.
+3. Snippets that are equal as a whole (anchor hash and a 128-bit digest of the
+   bytes) repeat as a whole; counts tell so.
 4. What is left are different snippets with equal anchors.  They are brought
    together by anchor, and a suffix sort with hashed comparisons finds which of
-   their windows repeat.  An anchor with very many different snippets (the rim
-   of a passage that many documents share) would make one task large: its
-   windows are counted by hash over all tasks instead.
+   their windows repeat.
+5. An anchor with very many different snippets (the rim of a passage that many
+   documents share) would make one task large.  A window with a bytes before its
+   anchor has 168 - a behind it, so all windows with a in a narrow range share
+   nearly all bytes, and those decide who meets: snippets are cut into parts by
+   ranges of a, equal parts repeat as a whole, parts that share their common
+   bytes with no other drop out, and the others are suffix-sorted by those
+   bytes.  Should too many still share them, the range is narrowed to a single
+   a, where the common bytes are the window itself and equal keys are the answer.
 """
 
 from __future__ import annotations
@@ -38,18 +44,22 @@ GRAM = 32
 MOST_SNIPPETS = 2048
 # Snippet bytes that are sorted at once.
 SORT_BYTES = 1 << 18
-SHARED_BITS = 24
+# The range of bytes before the anchor that a part of a snippet spans; 13 * 13 places in all.
+RANGE = 13
+# Slots of the bitmap of repeated anchors: so many for each, within these bounds.
+SLOTS_EACH, LEAST_BITS, MOST_BITS = 16, 16, 27
 # Positions fit the low bits of a packed (hash, position) number.
 _PLACE_BITS = 24
 _LONGEST = 1 << 19
-_ROW = "h BIGINT, c BIGINT, id BIGINT, key INT, at BIGINT, n BIGINT"
+_ROW = "h BIGINT, c1 BIGINT, c2 BIGINT, id BIGINT, key BIGINT, at BIGINT, n INT, a INT"
+_RUN = "id BIGINT, key BIGINT, at BIGINT, n BIGINT"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """(id, key, text): rows of one doc_id with different texts are told apart by key."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
-        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("id"), F.hash(text).alias("key"), text.alias("text")
+        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("key"), text.alias("text")
     )
 
 
@@ -67,7 +77,7 @@ def _window_minima(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def snippets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(document, first window, windows, anchor hash, content hash) of the texts that lie end to end in ``data``."""
+    """(document, first window, windows, bytes from there to the anchor, anchor hash) of the texts that lie end to end in ``data``."""
     none = np.zeros(0, np.int64)
     if len(data) < SPAN:
         return none, none, none, none, none
@@ -92,11 +102,17 @@ def snippets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     first = windows[new]
     count = np.diff(np.append(np.flatnonzero(new), len(windows)))
     doc = np.searchsorted(offsets, first, side="right") - 1
-    content = mix(span_hash(prefix, first, first + count + SPAN - 1) + count.astype(np.uint64))
-    return doc, first, count, grams[chosen[new]].view(np.int64), content.view(np.int64)
+    return doc, first, count, chosen[new] - first, grams[chosen[new]].view(np.int64)
 
 
-def _anchors(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+def _digests(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Two 64-bit numbers each, of the bytes from ``first`` to ``end``."""
+    raw = data.tobytes()
+    both = b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), end.tolist()))
+    return np.frombuffer(both, np.int64).reshape(-1, 2)
+
+
+def _anchors(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray | None, bits: int = 0) -> Iterator[pa.RecordBatch]:
     """Rows (h) or, with a bitmap of the anchors that may repeat, whole snippet rows of those."""
     for batch in batches:
         ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -111,28 +127,31 @@ def _anchors(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray | None) -> It
                     part, own = data[begin:stop], np.array([0, stop - begin])
                 else:
                     part, own = data[base : offsets[last]], offsets[first : last + 1] - base
-                doc, at, n, h, c = snippets(part, own)
+                doc, at, n, a, h = snippets(part, own)
                 if bitmap is None:
                     yield pa.RecordBatch.from_arrays([pa.array(h)], names=["h"])
                     continue
-                near = prefilter.is_marked(bitmap, (h.view(np.uint64) >> np.uint64(64 - SHARED_BITS)).astype(np.int64))
-                doc, at, n, h, c = doc[near], at[near], n[near], h[near], c[near]
+                near = prefilter.is_marked(bitmap, (h.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64))
+                doc, at, n, a, h = doc[near], at[near], n[near], a[near], h[near]
+                c = _digests(part, at, at + n + SPAN - 1)
                 place = at - own[doc] + (begin - base)
-                arrays = [h, c, ids[first + doc], keys[first + doc], place.astype(np.int64), n.astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["h", "c", "id", "key", "at", "n"])
+                arrays = [h, c[:, 0], c[:, 1], ids[first + doc], keys[first + doc], place.astype(np.int64), n.astype(np.int32), a.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["h", "c1", "c2", "id", "key", "at", "n", "a"])
 
 
 def repeated_anchors(keyed: DataFrame) -> DataFrame:
-    """Snippet rows (h, c, id, key, at, n) whose anchor h occurs at least twice."""
+    """Snippet rows (h, c1, c2, id, key, at, n, a) whose anchor h occurs at least twice."""
     counts = keyed.mapInArrow(lambda it: _anchors(it, None), "h BIGINT").groupBy("h").agg(F.count(F.lit(1)).alias("m"))
     shared = write_stage(counts.where(F.col("m") > 1).select("h"), "anchors")
-    bitmap = prefilter.marked(shared.select(F.shiftrightunsigned("h", 64 - SHARED_BITS).alias("slot")), SHARED_BITS)
-    rows = keyed.mapInArrow(lambda it: _anchors(it, bitmap), _ROW)
+    # Larger sets than the largest bitmap is made for only let more rows through to the join.
+    bits = min(MOST_BITS, max(LEAST_BITS, (SLOTS_EACH * shared.count()).bit_length()))
+    bitmap = prefilter.marked(shared.select(F.shiftrightunsigned("h", 64 - bits).alias("slot")), bits)
+    rows = keyed.mapInArrow(lambda it: _anchors(it, bitmap, bits), _ROW)
     return rows.join(shared, "h", "left_semi")
 
 
 def _sorted_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs (id, key, at, n) of repeated windows, from snippets sorted by anchor."""
+    """Runs (id, key, at, n) of repeated windows, from snippets sorted by ``h``."""
     held: list[dict] = []
     size, last = 0, None
     for batch in batches:
@@ -160,45 +179,76 @@ def _runs(rows: list[dict]) -> pa.RecordBatch:
     first = spots[new]
     n = np.diff(np.append(np.flatnonzero(new), len(spots))) if len(spots) else np.zeros(0, np.int64)
     column = lambda name: np.array([rows[i][name] for i in of[first]], dtype=np.int64)
-    arrays = [pa.array(column("id"), pa.int64()), pa.array(column("key"), pa.int32()), pa.array(column("at") + local[first], pa.int64()), pa.array(n, pa.int64())]
+    arrays = [pa.array(column("id"), pa.int64()), pa.array(column("key"), pa.int64()), pa.array(column("at") + local[first], pa.int64()), pa.array(n, pa.int64())]
     return pa.RecordBatch.from_arrays(arrays, names=["id", "key", "at", "n"])
 
 
-def _window_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(w1, w2, id, key, at, m) of every window of the snippets."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            s = row["snippet"]
-            both = np.frombuffer(b"".join(hashlib.blake2b(s[i : i + SPAN], digest_size=16).digest() for i in range(row["n"])), np.int64)
-            n = row["n"]
-            arrays = [
-                pa.array(both[0::2]), pa.array(both[1::2]), pa.array([row["id"]] * n, pa.int64()), pa.array([row["key"]] * n, pa.int32()),
-                pa.array(row["at"] + np.arange(n), pa.int64()), pa.array([row["m"]] * n, pa.int64()),
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, names=["w1", "w2", "id", "key", "at", "m"])
+def _parts(cut: DataFrame) -> DataFrame:
+    """Snippets (m, id, key, at, n, a, snippet) cut where the bytes before the anchor pass a multiple of RANGE.
+
+    A part (r, low, high, m, id, key, at, n, snippet) has the n = high - low + 1
+    windows with low to high bytes before the anchor.
+    """
+    least = F.col("a") - F.col("n") + 1
+    ranges = cut.withColumn("r", F.explode(F.sequence(F.floor(least / RANGE).cast("int"), F.floor(F.col("a") / RANGE).cast("int"))))
+    bounded = ranges.withColumns(
+        {"low": F.greatest(least, F.col("r") * RANGE), "high": F.least(F.col("a"), F.col("r") * RANGE + RANGE - 1)}
+    )
+    skipped, n = F.col("a") - F.col("high"), F.col("high") - F.col("low") + 1
+    return bounded.select(
+        "r", "low", "high", "m", "id", "key", (F.col("at") + skipped).alias("at"), n.alias("n"),
+        F.substring("snippet", skipped + 1, n + SPAN - 1).alias("snippet"),
+    )
+
+
+def _whole(rows: DataFrame, kinds: DataFrame, key: list[str]) -> DataFrame:
+    """Runs of the rows not known yet whose key stands for several."""
+    repeated = kinds.where(F.col("m") > 1).select(*key)
+    return rows.where(F.col("m") == 1).join(repeated, key, "left_semi").select("id", "key", "at", F.col("n").cast("bigint").alias("n"))
+
+
+def _split_hot(cut: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Runs known from snippets of hot anchors, and what of them is still to be sorted by ``h``."""
+    parts = write_stage(_parts(cut), "parts")
+    same = ["low", "high", "snippet"]
+    kinds = parts.groupBy("r", *same).agg(F.sum("m").alias("m"), F.min(F.struct("id", "key", "at")).alias("rep"))
+    kinds = write_stage(kinds, "part-kinds")
+    runs = _whole(parts, kinds, same)
+    # The bytes that all windows of the range have, wherever the part begins and ends in it.
+    shared = F.substring("snippet", F.col("high") - F.col("r") * RANGE + 1, F.lit(SPAN - RANGE + 1))
+    kinds = kinds.withColumn("h", F.xxhash64("r", shared)).select(
+        "h", "m", "rep.*", (F.col("high") - F.col("low") + 1).alias("n"), "snippet"
+    )
+    meeting = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("m").alias("least")).where((F.col("k") > 1) & (F.col("least") == 1))
+    meeting = write_stage(kinds.join(meeting.select("h", "k"), "h"), "part-groups")
+    single = meeting.where(F.col("k") > most).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    single = single.select("m", "id", "key", (F.col("at") + F.col("j")).alias("at"), F.lit(1).alias("n"), F.substring("snippet", F.col("j") + 1, F.lit(SPAN)).alias("snippet"))
+    runs = runs.unionByName(_whole(single, single.groupBy("snippet").agg(F.sum("m").alias("m")), ["snippet"]))
+    return runs, meeting.where(F.col("k") <= most).select(*_SORTED)
+
+
+_SORTED = ["h", "m", "id", "key", "at", "n", "snippet"]
 
 
 def repeated_runs(docs: DataFrame, most_snippets: int = MOST_SNIPPETS) -> DataFrame:
     """(id, key, at, n): windows at .. at + n - 1 of the text repeat somewhere in the corpus."""
     keyed = _keyed(docs)
     rows = write_stage(repeated_anchors(keyed), "snippets")
-    kinds = rows.groupBy("h", "c").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("id", "key", "at", "n")).alias("rep"))
+    same = ["h", "c1", "c2"]
+    kinds = rows.groupBy(*same).agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("id", "key", "at", "n", "a")).alias("rep"))
     kinds = write_stage(kinds, "kinds")
-    whole = rows.join(kinds.where(F.col("m") > 1).select("h", "c"), ["h", "c"], "left_semi").select("id", "key", "at", "n")
+    whole = rows.join(kinds.where(F.col("m") > 1).select(*same), same, "left_semi").select("id", "key", "at", F.col("n").cast("bigint").alias("n"))
     mixed = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("m").alias("least")).where((F.col("k") > 1) & (F.col("least") == 1))
     wanted = kinds.join(mixed.select("h", "k"), "h").select("h", "k", "m", "rep.*")
-    bytes_ = F.expr(f"substring(cast(text as binary), cast(at + 1 as int), cast(n + {SPAN - 1} as int))")
+    bytes_ = F.expr(f"substring(cast(text as binary), cast(at + 1 as int), n + {SPAN - 1})")
     wanted = write_stage(wanted, "wanted")
     holders, _ = prefilter.split(keyed, wanted.select("id"), "id")
-    cut = wanted.join(holders, ["id", "key"]).select("h", "k", "m", "id", "key", "at", "n", bytes_.alias("snippet"))
+    cut = wanted.join(holders, ["id", "key"]).select("h", "k", "m", "id", "key", "at", "n", "a", bytes_.alias("snippet"))
     cut = write_stage(cut, "cut")
-    near = cut.where(F.col("k") <= most_snippets).repartition("h").sortWithinPartitions("h")
-    runs = near.select("h", "m", "id", "key", "at", "n", "snippet").mapInArrow(_sorted_windows, "id BIGINT, key INT, at BIGINT, n BIGINT")
-    many = cut.where(F.col("k") > most_snippets).select("m", "id", "key", "at", "n", "snippet")
-    windows = many.mapInArrow(_window_digests, "w1 BIGINT, w2 BIGINT, id BIGINT, key INT, at BIGINT, m BIGINT")
-    twice = windows.groupBy("w1", "w2").agg(F.sum("m").alias("m")).where(F.col("m") > 1).select("w1", "w2")
-    single = windows.where(F.col("m") == 1).join(twice, ["w1", "w2"], "left_semi").select("id", "key", "at", F.lit(1).cast("bigint").alias("n"))
-    return whole.unionByName(runs).unionByName(single)
+    known, left = _split_hot(cut.where(F.col("k") > most_snippets), most_snippets)
+    near = cut.where(F.col("k") <= most_snippets).select(*_SORTED).unionByName(left)
+    runs = near.repartition("h").sortWithinPartitions("h").mapInArrow(_sorted_windows, _RUN)
+    return whole.unionByName(known).unionByName(runs)
 
 
 def spans_of(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -239,7 +289,7 @@ def deduplicated(docs: DataFrame, text: bool = True, most_snippets: int = MOST_S
     lists = runs.groupBy("id", "key").agg(F.collect_list(F.struct("at", "n")).alias("__runs"))
     columns = [c for c in docs.columns if c not in figures] if text else ["doc_id", "text"]
     named = docs.select(*columns).withColumns(
-        {"__id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))), "__key": F.hash(F.coalesce(F.col("text"), F.lit("")))}
+        {"__id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))), "__key": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))}
     )
     # Only documents that may have a run are moved to meet theirs.
     near, far = prefilter.split(named, runs.select(F.col("id").alias("__id")), "__id")

@@ -45,7 +45,7 @@ def corpus(seed=3):
 
 @pytest.mark.parametrize("most", [suffix_dedup.MOST_SNIPPETS, 2])
 def test_equals_brute_force(documents, most):
-    # With 2 nearly every anchor takes the path for many different snippets.
+    # With 2 nearly every anchor is split, and many parts down to single windows.
     texts = corpus()
     docs = documents(list(enumerate(texts))).repartition(5)
     got = suffix_dedup.deduplicated(docs, text=False, most_snippets=most)
@@ -71,8 +71,9 @@ def test_long_text_is_cut_with_overlap(monkeypatch):
     rnd = random.Random(1)
     text = "".join(rnd.choice("abcdefg ") for _ in range(3000))
     data, offsets = np.frombuffer(text.encode(), np.uint8), np.array([0, 3000])
-    _, at, n, _, _ = suffix_dedup.snippets(data, offsets)
+    _, at, n, a, _ = suffix_dedup.snippets(data, offsets)
     assert int(n.sum()) == 3000 - SPAN + 1 and list(at[1:]) == list((at + n)[:-1])
+    assert ((a >= n - 1) & (a <= SPAN - suffix_dedup.GRAM)).all()
 
 
 def test_suffixes_come_out_in_byte_order():
@@ -87,3 +88,26 @@ def test_equal_hashes_are_not_believed(monkeypatch):
     sorter = SuffixSorter(np.frombuffer(b"a" * 40 + b"b" * 40, np.uint8), 40)
     monkeypatch.setattr(sorter, "_same", lambda a, b, n: np.ones(len(a), bool))
     assert not sorter.repeated(np.array([0, 40])).any()
+
+
+def test_parts_grow_with_the_snippets_of_a_hot_anchor(documents):
+    rnd = random.Random(5)
+    prose = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage, made = prose(300), []
+    for copies in (20, 60):
+        texts = [prose(250) + passage + prose(250) for _ in range(copies)]
+        docs = documents(list(enumerate(texts))).repartition(3)
+        rows = suffix_dedup.repeated_anchors(suffix_dedup._keyed(docs)).collect()
+        cut = docs.sparkSession.createDataFrame(
+            [(1, r["id"], r["key"], r["at"], r["n"], r["a"], texts[r["id"]].encode()[r["at"] : r["at"] + r["n"] + SPAN - 1]) for r in rows],
+            "m INT, id BIGINT, key BIGINT, at BIGINT, n INT, a INT, snippet BINARY",
+        )
+        parts = suffix_dedup._parts(cut).collect()
+        assert sum(p["n"] for p in parts) == sum(r["n"] for r in rows)
+        assert all(p["snippet"] == texts[p["id"]].encode()[p["at"] : p["at"] + p["n"] + SPAN - 1] for p in parts)
+        assert len(parts) <= len(rows) * 14
+        made.append(len(parts))
+        got = suffix_dedup.deduplicated(docs, text=False, most_snippets=4)
+        rows = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got.collect()}
+        assert [rows[i] for i in range(len(texts))] == brute(texts)
+    assert made[1] <= 3.2 * made[0]
