@@ -291,6 +291,12 @@ def _pair_profile(rows: str, at_query: str, at_ref: str) -> str:
         CAST(sum({at_query} * {at_ref}) AS BIGINT) AS qr_sum FROM {rows} GROUP BY q, ref_id"""
 
 
+FLANKS = f"""SELECT q, strand, ref_id, q_start, r_start,
+        substr(s.seq, greatest(0, q_start - {T}) + 1, least({T}, q_start)) AS q_head,
+        substr(f.seq, greatest(0, r_start - {T}) + 1, least({T}, r_start)) AS r_head,
+        substr(s.seq, q_end + 1, {T}) AS q_tail, substr(f.seq, r_end + 1, {T}) AS r_tail
+        FROM dna_candidates JOIN dna_strands s USING (q, strand) JOIN dna_refs f USING (ref_id)"""
+
 _SQL: dict[str, str] = {
     # sources and sinks
     "read_fasta": "SELECT header, seq, length(seq) AS seq_len FROM dna_refs",
@@ -351,17 +357,15 @@ _SQL: dict[str, str] = {
     # joins
     "seed_hits": f"SELECT {PAIR}, qpos, rpos FROM dna_hits",
     "seed_hits_text": f"SELECT {PAIR}, qpos, rpos FROM text_hits",
+    "seed_hits_text_filtered": f"SELECT {PAIR}, qpos, rpos FROM text_hits",
     "lookup_taxid": """SELECT ref_id, header, coalesce(a.tax_id, -1) AS tax_id FROM dna_refs
         LEFT JOIN accessions a ON regexp_extract(header, '^>?(\\S+)', 1) = accession""",
     "lookup_taxid_repeated": """SELECT ref_id, header, coalesce(a.tax_id, -1) AS tax_id FROM dna_refs
         LEFT JOIN (SELECT accession, max(t) AS tax_id FROM (
           SELECT accession, tax_id AS t FROM accessions UNION ALL SELECT accession, tax_id - 7 FROM accessions) GROUP BY accession) a
         ON regexp_extract(header, '^>?(\\S+)', 1) = accession""",
-    "fetch_flanks": f"""SELECT q, strand, ref_id, q_start, r_start,
-        substr(s.seq, greatest(0, q_start - {T}) + 1, least({T}, q_start)) AS q_head,
-        substr(f.seq, greatest(0, r_start - {T}) + 1, least({T}, r_start)) AS r_head,
-        substr(s.seq, q_end + 1, {T}) AS q_tail, substr(f.seq, r_end + 1, {T}) AS r_tail
-        FROM dna_candidates JOIN dna_strands s USING (q, strand) JOIN dna_refs f USING (ref_id)""",
+    "fetch_flanks": FLANKS,
+    "fetch_flanks_stored": FLANKS,
     "attach_query": """SELECT q, strand, ref_id, q_start, r_start, seq AS query, length(seq) AS query_len
         FROM dna_candidates JOIN dna_strands USING (q, strand)""",
     # windows and ranking
@@ -386,6 +390,7 @@ _SQL: dict[str, str] = {
     "classify": f"SELECT {RESULT} FROM dna_results",
     "classify_all_groups": f"SELECT {RESULT} FROM all_results",
     "classify_text": f"SELECT {RESULT} FROM text_results",
+    "classify_text_stored": f"SELECT {RESULT} FROM text_results",
     "classify_split": "SELECT q, grp, confident, header, tax_id FROM cut_members",
     "classify_short": f"SELECT {RESULT} FROM short_results",
     "classify_fast": f"SELECT {RESULT} FROM quick_results",

@@ -487,6 +487,13 @@ def seed_hits_text(spark, sf_dir):
     return matching.seed_hits(seeds, kmers.ref_kmers(text_refs(spark, sf_dir), PARAMS.k))
 
 
+@query
+def seed_hits_text_filtered(spark, sf_dir):
+    """Seeds that may not be broadcast: k-mers pass a filter of fixed size before they are shuffled."""
+    seeds = kmers.query_seeds(text_reads(spark, sf_dir), THRESHOLD)
+    return matching.seed_hits(seeds, kmers.ref_kmers(text_refs(spark, sf_dir), PARAMS.k), broadcast_bytes=0)
+
+
 @query
 def lookup_taxid(spark, sf_dir):
     known = lookups.read_accession_taxid(spark, _accession_file(spark, sf_dir))
@@ -509,6 +516,21 @@ def fetch_flanks(spark, sf_dir):
     return flanks.select("q", "strand", "ref_id", "q_start", "r_start", "q_head", "r_head", "q_tail", "r_tail")
 
 
+@query
+def fetch_flanks_stored(spark, sf_dir):
+    """Requests that may not be broadcast, to the stored blocks of two united indexes."""
+    index = index_store.read_index(spark, _stored_halves(spark, sf_dir), THRESHOLD)
+    moved = index.refs.select("ref_id", F.col("header").alias("__header")).join(
+        dna_refs(spark, sf_dir).select(F.col("ref_id").alias("__id"), F.col("header").alias("__header")), "__header"
+    )
+    runs = dna_candidates(spark, sf_dir).withColumnRenamed("ref_id", "__id").join(moved.drop("__header"), "__id")
+    flanks = scoring.fetch_flanks(
+        runs, dna_reads(spark, sf_dir), index.refs, THRESHOLD, block=64, stored=index.blocks, broadcast_bytes=0
+    )
+    named = flanks.join(moved, "ref_id").withColumn("ref_id", F.col("__id"))
+    return named.select("q", "strand", "ref_id", "q_start", "r_start", "q_head", "r_head", "q_tail", "r_tail")
+
+
 @query
 def attach_query(spark, sf_dir):
     runs = dna_candidates(spark, sf_dir)
@@ -651,6 +673,15 @@ def classify_text(spark, sf_dir):
     )
 
 
+@query
+def classify_text_stored(spark, sf_dir):
+    """Against a stored index with nothing broadcast: salted bucket join, slices from stored blocks."""
+    path = scratch(spark, "text-index")
+    index_store.write_index(text_index(spark, sf_dir), path, n_buckets=4, rows_per_salt=200)
+    index = index_store.read_index(spark, path, THRESHOLD)
+    return plans.classify(text_reads(spark, sf_dir), index, THRESHOLD, strands=False, broadcast_bytes=0).drop("confident_text")
+
+
 @query
 def classify_short(spark, sf_dir):
     """An even, low threshold: short seeds, none of which is suppressed."""

@@ -15,6 +15,22 @@ from seedweave.params import MatchParams, check_percentage
 from seedweave.session import broadcast_if_small
 
 
+@dataclass(frozen=True)
+class RefBlocks:
+    """Stored reference text, ``size`` characters a row and ``overlap`` of what follows.
+
+    ``table`` (ref_id, block, text_len, block_text) is bucketed by (ref_id,
+    block) and counts references from 0; they are ``first`` to ``end`` - 1 of
+    the index.
+    """
+
+    table: DataFrame
+    size: int
+    overlap: int
+    first: int
+    end: int
+
+
 @dataclass(frozen=True)
 class Index:
     """postings (db_id, ref_id, rpos, kmer) and refs (db_id, ref_id, header,
@@ -24,7 +40,8 @@ class Index:
     use a higher one.  ``hot`` and a ``salt`` column of the postings are there
     when the index was read from storage.  ``parts`` are the indexes that were
     united, each with its own buckets; ``suppressed`` says that frequent k-mers
-    were left out.
+    were left out.  ``blocks`` holds the stored text of all references, if
+    every part was stored with it.
     """
 
     postings: DataFrame
@@ -36,6 +53,7 @@ class Index:
     suppressed: bool = False
     parts: tuple[Index, ...] = ()
     spans: tuple[int, int] | None = None
+    blocks: tuple[RefBlocks, ...] = ()
 
     def id_spans(self) -> tuple[int, int]:
         """(databases, reference ids) that the index takes up, counted from 0."""
@@ -89,10 +107,11 @@ def union_indexes(indexes: list[Index]) -> Index:
     thresholds = {i.threshold for i in indexes}
     if len(thresholds) > 1:
         raise ValueError(f"indexes were built with different thresholds: {sorted(thresholds)}")
-    next_db, next_ref, parts = 0, 0, []
+    next_db, next_ref, parts, blocks = 0, 0, [], []
     for index in indexes:
         for part in index.parts or (index,):
             parts.append(_shifted(part, next_db, next_ref))
+        blocks += [replace(b, first=b.first + next_ref, end=b.end + next_ref) for b in index.blocks]
         dbs, ids = index.id_spans()
         next_db, next_ref = next_db + dbs, next_ref + ids
     columns = ("db_id", "ref_id", "rpos", "kmer")
@@ -105,6 +124,7 @@ def union_indexes(indexes: list[Index]) -> Index:
         suppressed=any(i.suppressed for i in indexes),
         parts=tuple(parts),
         spans=(next_db, next_ref),
+        blocks=tuple(blocks) if all(i.blocks for i in indexes) else (),
     )
 
 
@@ -114,7 +134,7 @@ def _shifted(index: Index, db_offset: int, ref_offset: int) -> Index:
         "db_id": (F.col("db_id") + F.lit(db_offset)).cast("int"),
         "ref_id": F.col("ref_id") + F.lit(ref_offset).cast("bigint"),
     }
-    return replace(index, postings=index.postings.withColumns(ids), refs=index.refs.withColumns(ids), spans=None)
+    return replace(index, postings=index.postings.withColumns(ids), refs=index.refs.withColumns(ids), spans=None, blocks=())
 
 
 def posting_lists(postings: DataFrame, ref_span: int = 64, pos_span: int = 4096) -> DataFrame:

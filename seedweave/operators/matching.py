@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seedweave.session import broadcast_if_small
+from seedweave.operators.seed_filter import join_filtered
+from seedweave.session import broadcast_if_small, row_count
 
 READ = ["q", "strand"]
 PAIR = ["q", "strand", "db_id", "ref_id"]
@@ -24,18 +25,26 @@ CHAIN_BLOCK = 65_536
 
 
 def seed_hits(
-    seeds: DataFrame, postings: DataFrame, hot: DataFrame | None = None, n_seeds: int | None = None, k: int = 32
+    seeds: DataFrame,
+    postings: DataFrame,
+    hot: DataFrame | None = None,
+    n_seeds: int | None = None,
+    k: int = 32,
+    broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """Hits (q, strand, db_id, ref_id, qpos, rpos): seeds joined with postings.
 
     Few seeds (counted, of ``k`` characters) are broadcast, and the postings stream past them
-    without a shuffle.  Otherwise both sides meet on the k-mer.  A stored index
+    without a shuffle.  Otherwise both sides meet on the k-mer, and a filter
+    of fixed size keeps k-mers that are no seed out of the shuffle.  A stored index
     spreads a frequent k-mer over several ``salt`` values; ``hot`` (kmer,
     n_salts) then copies that k-mer's seeds to each of them, so that the join
     follows the index's buckets and no bucket holds a whole frequent k-mer.
+    ``broadcast_bytes`` bounds what is broadcast of the seeds themselves.
     """
-    keys = ["kmer"]
-    few = broadcast_if_small(seeds, n_seeds, 4 * k)
+    keys, found = ["kmer"], ["q", "strand", "db_id", "ref_id", "qpos", "rpos"]
+    n_seeds = row_count(seeds) if n_seeds is None else n_seeds
+    few = broadcast_if_small(seeds, n_seeds, 4 * k, broadcast_bytes)
     if few is not seeds:
         seeds = few
     elif hot is not None and "salt" in postings.columns:
@@ -47,7 +56,9 @@ def seed_hits(
             .drop("n_salts")
         )
         keys = ["kmer", "salt"]
-    return postings.join(seeds, keys).select("q", "strand", "db_id", "ref_id", "qpos", "rpos")
+    else:
+        return join_filtered(postings, seeds, n_seeds).select(*found)
+    return postings.join(seeds, keys).select(*found)
 
 
 def chain_runs(hits: DataFrame, step: int, adjacency: str = "sorted", block: int = CHAIN_BLOCK) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seedweave.functions import score as S
 from seedweave.functions import text
+from seedweave.operators.index import RefBlocks
 from seedweave.operators.matching import PAIR
 from seedweave.operators.sequences import FORWARD, REVERSE
 from seedweave.session import fits_broadcast, row_count
@@ -63,6 +64,8 @@ def fetch_flanks(
     threshold: int,
     block: int = FLANK_BLOCK,
     n_runs: int | None = None,
+    stored: tuple[RefBlocks, ...] = (),
+    broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """Text on both sides of each run, from the read and from the reference.
 
@@ -72,10 +75,18 @@ def fetch_flanks(
     A run asks for four slices and each lies in one block of one text, so there
     is a single join on (text, block): neither a long text nor one that many
     runs touch becomes one row or one task.  With few runs (counted) the
-    requests are broadcast and no text moves at all.
+    requests are broadcast and no text moves at all.  Otherwise requests for
+    reference text go to the buckets of its ``stored`` blocks and only they
+    move; without those (or with blocks that overlap by less than a flank) the
+    reference text is cut and shuffled.
     """
-    few = fits_broadcast(4 * (row_count(runs) if n_runs is None else n_runs), 4 * threshold)
+    few = fits_broadcast(4 * (row_count(runs) if n_runs is None else n_runs), 4 * threshold, broadcast_bytes)
     T = threshold
+    if few or any(b.overlap < T + 1 for b in stored):
+        stored = ()
+    ref_block = stored[0].size if stored else block
+    if any(b.size != ref_block for b in stored):
+        stored, ref_block = (), block
     read_strand, no_strand = F.col("run.strand"), F.lit("")
     q_at = F.greatest(F.lit(0), F.col("run.q_start") - T)
     r_at = F.greatest(F.lit(0), F.col("run.r_start") - T)
@@ -85,8 +96,8 @@ def fetch_flanks(
     wanted = F.array(
         _slice("q_head", True, "run.q", read_strand, q_at, F.col("run.q_start") - q_at, q_at, block),
         _slice("q_tail", True, "run.q", read_strand, q_end, F.lit(T), q_end - 1, block),
-        _slice("r_head", False, "run.ref_id", no_strand, r_at, F.col("run.r_start") - r_at, r_at, block),
-        _slice("r_tail", False, "run.ref_id", no_strand, r_end, F.lit(T), r_end - 1, block),
+        _slice("r_head", False, "run.ref_id", no_strand, r_at, F.col("run.r_start") - r_at, r_at, ref_block),
+        _slice("r_tail", False, "run.ref_id", no_strand, r_end, F.lit(T), r_end - 1, ref_block),
     )
     requests = runs.select(F.struct(*RUN).alias("run")).select("run", F.explode(wanted).alias("s")).select("run", "s.*")
 
@@ -100,12 +111,18 @@ def fetch_flanks(
         read_texts = read_texts.join(F.broadcast(asked_reads), ["id", "strand"], "left_semi")
         ref_texts = ref_texts.join(F.broadcast(asked_refs), "id", "left_semi")
     read_texts = read_texts.withColumn("seq", _on_strand("seq", "strand"))
-    blocks = _text_blocks(read_texts.unionByName(ref_texts), T, block)
-
-    local = (F.col("at") - F.col("block") * block + 1).cast("int")
-    found = blocks.join(requests, ["of_read", "id", "strand", "block"]).select(
-        "run.*", "of_read", "name", "text_len", F.col("block_text").substr(local, F.col("n")).alias("slice")
-    )
+    local = (F.col("at") - F.col("block") * F.when(F.col("of_read"), block).otherwise(ref_block) + 1).cast("int")
+    shown = ["run.*", "of_read", "name", "text_len", F.col("block_text").substr(local, F.col("n")).alias("slice")]
+    if stored:
+        blocks = _text_blocks(read_texts, T, block)
+        found = blocks.join(requests.where("of_read"), ["of_read", "id", "strand", "block"]).select(*shown)
+        for part in stored:
+            own = requests.where(~F.col("of_read") & (F.col("id") >= part.first) & (F.col("id") < part.end))
+            own = own.withColumn("ref_id", F.col("id") - F.lit(part.first).cast("bigint"))
+            found = found.unionByName(part.table.join(own, ["ref_id", "block"]).select(*shown))
+    else:
+        blocks = _text_blocks(read_texts.unionByName(ref_texts), T, block)
+        found = blocks.join(requests, ["of_read", "id", "strand", "block"]).select(*shown)
     names = ["q_head", "r_head", "q_tail", "r_tail"]
     return found.groupBy(*RUN).agg(
         F.max(F.when(F.col("of_read"), F.col("text_len"))).alias("query_len"),

@@ -46,14 +46,15 @@ def split_reference(df: DataFrame, n: int) -> DataFrame:
 
 
 def number_rows(df: DataFrame, id_col: str = "seq_id") -> DataFrame:
-    """Dense row numbers 0..n-1 in partition order, without moving the rows.
+    """Dense row numbers 0..n-1 in partition order, without a shuffle of the rows.
 
     Only one count per partition is aggregated; its running sum is joined back
-    as an offset, so the window sees one row per partition.  The input must
-    produce the same partitions each time it is evaluated (a file scan or a
-    written table does).
+    as an offset, so the window sees one row per partition.  The rows are
+    written with their partition and place once: evaluated a second time, the
+    input might come in other partitions.
     """
-    tagged = df.withColumn("_part", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id())
+    marked = df.withColumn("_part", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id())
+    tagged = write_stage(marked, "marked-rows")
     counts = tagged.groupBy("_part").agg(F.min("_mono").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))

@@ -24,6 +24,7 @@ def score_reads(
     strands: bool = True,
     adjacency: str = "sorted",
     spread: int | None = None,
+    broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """Scores (pair keys, sums, raw, score) of all candidates of all reads.
 
@@ -31,6 +32,7 @@ def score_reads(
     tries the reverse complement of each read.  ``spread`` redistributes a
     reference table that has fewer splits than the cluster has cores; leave it
     out where files already split well, since it moves the reference text.
+    ``broadcast_bytes`` bounds each broadcast of seeds or slices; 0 rules them out.
 
     Runs and candidate runs are written stages: both feed several consumers,
     and the k-mer join behind them must not run twice.
@@ -51,17 +53,20 @@ def score_reads(
     stranded = seqs.both_strands(reads) if strands else seqs.forward_only(reads)
     seeds = kmers.query_seeds(stranded, index.threshold)
     postings = index.postings
-    if index.complete and fits_broadcast(n_seeds, 4 * seed_params.k):
+    if index.complete and fits_broadcast(n_seeds, 4 * seed_params.k, broadcast_bytes):
         postings = scan_postings(index.refs, seeds, seed_params.k)
     sources = [(p.postings, p.hot) for p in index.parts] if index.parts and postings is index.postings else [(postings, index.hot)]
-    hits = reduce(DataFrame.unionByName, [matching.seed_hits(seeds, p, hot, n_seeds, seed_params.k) for p, hot in sources])
+    hits = reduce(DataFrame.unionByName, [matching.seed_hits(seeds, p, hot, n_seeds, seed_params.k, broadcast_bytes) for p, hot in sources])
     runs = write_stage(matching.chain_runs(hits, seed_params.step, adjacency), "runs")
     candidates = write_stage(matching.candidate_runs(runs, seed_params.step), "candidates")
 
     if mode == "fast":
         segments = scoring.keep_unextended(candidates, reads, index.refs)
     else:
-        flanked = scoring.fetch_flanks(candidates, reads, index.refs, threshold, n_runs=row_count(candidates))
+        flanked = scoring.fetch_flanks(
+            candidates, reads, index.refs, threshold,
+            n_runs=row_count(candidates), stored=index.blocks, broadcast_bytes=broadcast_bytes,
+        )
         segments = scoring.extend_runs(flanked, threshold)
     kept = scoring.segment_filter(segments, threshold)
     return scoring.drop_zero(scoring.relative_score(scoring.raw_score(kept)))

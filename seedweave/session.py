@@ -51,18 +51,18 @@ def row_count(df: DataFrame) -> int:
     return df.select(F.lit(1)).count()
 
 
-def fits_broadcast(rows: int, width: int = 0) -> bool:
-    """Whether ``rows`` rows with ``width`` bytes of text each may be broadcast."""
-    return rows * (ROW_BYTES + width) <= BROADCAST_BYTES
+def fits_broadcast(rows: int, width: int = 0, limit: int | None = None) -> bool:
+    """Whether ``rows`` rows with ``width`` bytes of text each may be broadcast, within ``limit`` bytes if given."""
+    return rows * (ROW_BYTES + width) <= (BROADCAST_BYTES if limit is None else limit)
 
 
-def broadcast_if_small(df: DataFrame, rows: int | None = None, width: int = 0) -> DataFrame:
+def broadcast_if_small(df: DataFrame, rows: int | None = None, width: int = 0, limit: int | None = None) -> DataFrame:
     """Hint a broadcast only when the counted size allows it.
 
     Beyond the bound the frame is returned unhinted and the join shuffles,
     with skewed partitions split by adaptive execution.
     """
-    return F.broadcast(df) if fits_broadcast(row_count(df) if rows is None else rows, width) else df
+    return F.broadcast(df) if fits_broadcast(row_count(df) if rows is None else rows, width, limit) else df
 
 
 def default_spread(spark: SparkSession) -> int:

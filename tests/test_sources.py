@@ -107,3 +107,25 @@ def test_cut_off_fastq_record_is_an_error(spark, tmp_path):
     (tmp_path / "cut.fq").write_text("@a\nACGT\n+\nIIII\n@b\nAC\n")
     with pytest.raises(Exception, match="cut off"):
         seq_io.read_fastq(spark, str(tmp_path / "cut.fq")).collect()
+
+
+@pytest.mark.parametrize("late", [("spark.sql.files.maxPartitionBytes", "3000"), ("spark.sql.files.minPartitionNum", "23")])
+def test_records_survive_other_splits_in_a_later_scan(spark, tmp_path, late):
+    records = [(f">r{i}", "ACGT" * (i % 9 + 1)) for i in range(2000)]
+    (tmp_path / "a.fa").write_text("".join(f"{h}\n{s}\n" for h, s in records))
+    (tmp_path / "a.fq").write_text("".join(f"@{h[1:]}\n{s}\n+\n{s}\n" for h, s in records))
+    first = {"spark.sql.files.maxPartitionBytes": "9000", "spark.sql.files.openCostInBytes": "1"}
+    old = {key: spark.conf.get(key, None) for key in (*first, late[0])}
+    try:
+        for key, value in first.items():
+            spark.conf.set(key, value)
+        fasta, fastq = seq_io.read_fasta(spark, str(tmp_path / "a.fa")), seq_io.read_fastq(spark, str(tmp_path / "a.fq"))
+        numbered = seqs.number_rows(spark.read.text(str(tmp_path / "a.fa")).where("value LIKE '>%'"))
+        spark.conf.set(*late)
+        assert rows(fasta) == [(i, h, s) for i, (h, s) in enumerate(records)]
+        assert rows(fastq) == [(i, f"@{h[1:]}", s) for i, (h, s) in enumerate(records)]
+        got = numbered.orderBy("seq_id").collect()
+        assert [r["seq_id"] for r in got] == list(range(2000)) and {r["value"] for r in got} == {h for h, _ in records}
+    finally:
+        for key, value in old.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
