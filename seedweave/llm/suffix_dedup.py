@@ -44,6 +44,8 @@ GRAM = 32
 MOST_SNIPPETS = 2048
 # Snippet bytes that are sorted at once.
 SORT_BYTES = 1 << 18
+# Bytes of text that are cut at once.
+CUT_BYTES = 1 << 21
 # The range of bytes before the anchor that a part of a snippet spans; 13 * 13 places in all.
 RANGE = 13
 # Slots of the bitmap of repeated anchors: so many for each, within these bounds.
@@ -302,8 +304,13 @@ def deduplicated(docs: DataFrame, text: bool = True, most_snippets: int = MOST_S
         *[f"`{c}`" for c in out_columns], "0L AS n_bytes", "0L AS n_removed", "0L AS n_spans", "'' AS kept_sha256"
     ).schema
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def by_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            for first, last in blocks(text_buffer(batch.column(place))[1], CUT_BYTES):
+                yield batch.slice(first, last - first)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches):
             shown, numbers = [], []
             for body, own in zip(batch.column(place), batch.column(len(columns))):
                 data = (body.as_py() or "").encode()
