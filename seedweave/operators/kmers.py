@@ -18,8 +18,8 @@ def ref_kmers(refs: DataFrame, k: int, piece: int = PIECE, skip_all_n: bool = Tr
     """Postings (db_id, ref_id, rpos, kmer): every k-mer of every reference.
 
     A narrow two-step explosion: text into pieces that overlap by k-1, pieces
-    into k-mers.  No row ever holds more than one piece's k-mers, so a
-    reference of any length streams through.  The ``_outer`` forms keep the
+    into k-mers.  No row ever holds more than one piece's k-mers, but
+    the pieces of one reference are cut in one task.  The ``_outer`` forms keep the
     optimizer from adding a size filter that would run the cut a second time.
     """
     keys = ["db_id", "ref_id"]
