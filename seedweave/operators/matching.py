@@ -15,10 +15,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seedweave.operators.seed_filter import join_filtered
-from seedweave.session import broadcast_if_small, row_count
+from seedweave.operators.streaks import longest_streaks, seed_words
+from seedweave.session import broadcast_if_small, row_count, write_stage
 
 READ = ["q", "strand"]
 PAIR = ["q", "strand", "db_id", "ref_id"]
+SCOPE = ["q", "strand", "db_id"]
 
 # Reference positions per window of the run chaining.
 CHAIN_BLOCK = 65_536
@@ -68,6 +70,7 @@ def chain_runs(hits: DataFrame, step: int, adjacency: str = "sorted", block: int
     the row before it when both positions advance by one step; a hit of another
     diagonal in between ends the run.  ``diagonal``: hits chain along their
     diagonal whatever lies between.  Ends are the last hit plus one step.
+    ``sorted`` reads ``hits`` twice where three seeds of a read meet one place.
     """
     if adjacency == "diagonal":
         linked = _linked_on_diagonal(hits, step)
@@ -111,13 +114,40 @@ def _linked_on_diagonal(hits: DataFrame, step: int) -> DataFrame:
 
 
 def _linked_in_order(hits: DataFrame, step: int, block: int) -> DataFrame:
-    """Runs in sorted order, computed block by block of the reference.
+    """Runs in sorted order, in blocks on both axes.
+
+    Of the hits at one reference position only the first can continue a run and
+    only the last can be continued; those between are runs of their own.  So
+    the positions are reduced to their first and last hit, by an aggregation,
+    before any window, and the hits between come from the few positions that
+    have more than two.
+    """
+    ends = write_stage(
+        hits.groupBy(*PAIR, "rpos").agg(F.min("qpos").alias("low"), F.max("qpos").alias("high"), F.count(F.lit(1)).alias("n")), "chain-ends"
+    )
+    outer = F.explode(F.when(F.col("low") == F.col("high"), F.array("low")).otherwise(F.array("low", "high")))
+    runs = _linked_in_blocks(ends.select(*PAIR, "rpos", outer.alias("qpos")), step, block)
+    crowded = ends.where("n > 2").drop("n")
+    n_crowded = row_count(crowded)
+    if not n_crowded:
+        return runs
+    between = hits.join(broadcast_if_small(crowded, n_crowded), [*PAIR, "rpos"]).where("qpos > low AND qpos < high")
+    single = between.select(
+        *PAIR, F.lit(1).cast("bigint").alias("n_seeds"), F.col("qpos").alias("q_start"), F.col("rpos").alias("r_start"),
+        F.col("qpos").alias("q_last"), F.col("rpos").alias("r_last"),
+    )
+    return runs.select(*single.columns).unionByName(single)
+
+
+def _linked_in_blocks(hits: DataFrame, step: int, block: int) -> DataFrame:
+    """Runs in sorted order of hits that are at most two for a reference position.
 
     Whether a hit continues a run depends on the row right before it, which is
     at most one step back or does not matter.  So each block of reference
     positions also receives the hits of the last step of the block before it
-    (the halo), and blocks of one pair need not meet in one task.  Pieces of a
-    run that crosses blocks are then joined along their diagonal.
+    (the halo), and blocks of one pair need not meet in one task: a window has
+    at most ``2 * (block + step)`` rows.  Pieces of a run that crosses blocks
+    are then joined along their diagonal.
     """
     home = F.floor(F.col("rpos") / block)
     blocks = F.when(
@@ -142,11 +172,14 @@ def _linked_in_order(hits: DataFrame, step: int, block: int) -> DataFrame:
         .groupBy(*PAIR, "block", "piece")
         .agg(*_extent(F.max(F.coalesce("crosses", F.lit(False))).alias("crosses")))
     )
-    # A diagonal of a pair has at most one part per seed of the read.
-    keys = [*PAIR, "diagonal"]
+    # Only parts at the rim of a block may belong together: one that crosses into it and those that end
+    # in its last step.  The others stand alone in their window.
+    rim = F.col("crosses") | (F.col("r_last") % block >= block - step)
+    keys = [*PAIR, "diagonal", "alone"]
     along = Window.partitionBy(*keys).orderBy("q_start")
     return (
         parts.withColumn("diagonal", F.col("r_start") - F.col("q_start"))
+        .withColumn("alone", F.when(rim, -1).otherwise(F.col("r_start")))
         .withColumn("run", F.sum(F.when(F.col("crosses"), 0).otherwise(1)).over(along))
         .groupBy(*keys, "run")
         .agg(
@@ -159,27 +192,13 @@ def _linked_in_order(hits: DataFrame, step: int, block: int) -> DataFrame:
     )
 
 
-def seed_streaks(pair_seeds: DataFrame, carry: str | None = None) -> DataFrame:
+def seed_streaks(words: DataFrame, carry: str | None = None) -> DataFrame:
     """Longest streak of consecutive hit seeds per pair, as ``streak``.
 
-    ``pair_seeds`` has one row per pair and hit seed position.  Seeds of a read
-    that hit anything in a database are numbered 0, 1, 2 ...; a streak is a row
-    of consecutive numbers within one pair.  Both windows are bounded by the
-    number of seeds in one read.  ``carry`` names a column whose maximum per
-    pair is kept along.
+    Seeds of a read that hit anything in a database are numbered 0, 1, 2 ...;
+    a streak is a row of consecutive numbers within one pair.
     """
-    scope = ["q", "strand", "db_id"]
-    number = F.row_number().over(Window.partitionBy(*scope).orderBy("qpos"))
-    numbered = pair_seeds.select(*scope, "qpos").distinct().withColumn("seed_no", number)
-    in_pair = F.row_number().over(Window.partitionBy(*PAIR).orderBy("seed_no"))
-    islands = pair_seeds.join(numbered, [*scope, "qpos"]).withColumn("island", F.col("seed_no") - in_pair)
-    carried = [F.max(carry).alias(carry)] if carry else []
-    return (
-        islands.groupBy(*PAIR, "island")
-        .agg(F.count(F.lit(1)).alias("streak"), *carried)
-        .groupBy(*PAIR)
-        .agg(F.max("streak").alias("streak"), *carried)
-    )
+    return longest_streaks(words, PAIR, SCOPE, carry)
 
 
 def _streak_floor(best_streak):
@@ -187,15 +206,16 @@ def _streak_floor(best_streak):
     return F.greatest(F.lit(1), best_streak - 1)
 
 
-def consecutive_seed_filter(hits: DataFrame) -> DataFrame:
+def consecutive_seed_filter(hits: DataFrame, step: int = 1) -> DataFrame:
     """Keep the hits of references whose longest streak is near the best.
 
     Judged per read, strand and database.  All hits of a kept reference stay.
+    ``hits`` is read twice; ``step`` is the stride of its seeds, where known,
+    and makes the bitmaps that judge them smaller.
     """
-    scope = ["q", "strand", "db_id"]
-    streaks = seed_streaks(hits.select(*PAIR, "qpos").distinct())
-    best = streaks.groupBy(*scope).agg(F.max("streak").alias("best"))
-    kept = streaks.join(best, scope).where(F.col("streak") >= _streak_floor(F.col("best"))).select(*PAIR)
+    streaks = seed_streaks(seed_words(hits, PAIR, step))
+    best = streaks.groupBy(*SCOPE).agg(F.max("streak").alias("best"))
+    kept = streaks.join(best, SCOPE).where(F.col("streak") >= _streak_floor(F.col("best"))).select(*PAIR)
     return hits.join(kept, PAIR, "left_semi")
 
 
@@ -219,24 +239,17 @@ def candidate_runs(runs: DataFrame, step: int) -> DataFrame:
     are reduced to their distinct (streak, longest) combinations before any
     window; a read with s seeds has at most s*s of them per database.
     """
-    seeds_of_runs = (
-        runs.select(
-            *PAIR,
-            "n_seeds",
-            F.explode(F.sequence("q_start", F.col("q_end") - step, F.lit(step))).alias("qpos"),
-        )
-        .groupBy(*PAIR, "qpos")
-        .agg(F.max("n_seeds").alias("longest"))
+    seeds_of_runs = runs.select(
+        *PAIR, "n_seeds", F.explode(F.sequence("q_start", F.col("q_end") - step, F.lit(step))).alias("qpos")
     )
-    pairs = seed_streaks(seeds_of_runs, carry="longest")
-    scope = ["q", "strand", "db_id"]
-    combos = pairs.select(*scope, "streak", "longest").distinct()
+    pairs = seed_streaks(seed_words(seeds_of_runs, PAIR, step, F.max("n_seeds").alias("longest")), carry="longest")
+    combos = pairs.select(*SCOPE, "streak", "longest").distinct()
     kept_combos = (
-        combos.withColumn("best_streak", F.max("streak").over(Window.partitionBy(*scope)))
+        combos.withColumn("best_streak", F.max("streak").over(Window.partitionBy(*SCOPE)))
         .where(F.col("streak") >= _streak_floor(F.col("best_streak")))
         .withColumn("best", F.max("longest").over(Window.partitionBy(*READ)))
         .where("best >= 2 AND longest = best")
-        .select(*scope, "streak", "longest")
+        .select(*SCOPE, "streak", "longest")
     )
-    kept = pairs.join(kept_combos, [*scope, "streak", "longest"], "left_semi").select(*PAIR)
+    kept = pairs.join(kept_combos, [*SCOPE, "streak", "longest"], "left_semi").select(*PAIR)
     return runs.join(kept, PAIR, "left_semi")

@@ -34,8 +34,9 @@ def score_reads(
     out where files already split well, since it moves the reference text.
     ``broadcast_bytes`` bounds each broadcast of seeds or slices; 0 rules them out.
 
-    Runs and candidate runs are written stages: both feed several consumers,
-    and the k-mer join behind them must not run twice.
+    References are judged by their seed streaks before anything is chained.
+    Hits, runs and candidate runs are written stages: all feed several
+    consumers, and the k-mer join behind them must not run twice.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, got {mode!r}")
@@ -57,8 +58,10 @@ def score_reads(
         postings = scan_postings(index.refs, seeds, seed_params.k)
     sources = [(p.postings, p.hot) for p in index.parts] if index.parts and postings is index.postings else [(postings, index.hot)]
     hits = reduce(DataFrame.unionByName, [matching.seed_hits(seeds, p, hot, n_seeds, seed_params.k, broadcast_bytes) for p, hot in sources])
-    runs = write_stage(matching.chain_runs(hits, seed_params.step, adjacency), "runs")
-    candidates = write_stage(matching.candidate_runs(runs, seed_params.step), "candidates")
+    hits = write_stage(hits, "hits")
+    near = matching.consecutive_seed_filter(hits, seed_params.step)
+    runs = write_stage(matching.chain_runs(near, seed_params.step, adjacency), "runs")
+    candidates = write_stage(matching.longest_run_filter(runs), "candidates")
 
     if mode == "fast":
         segments = scoring.keep_unextended(candidates, reads, index.refs)
