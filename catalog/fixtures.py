@@ -76,6 +76,26 @@ SELECT q, header, CASE WHEN q % 7 = 0 THEN lower(seq) ELSE seq END AS seq FROM (
 
 DNA_READS = f"SELECT q, header, upper(seq) AS seq FROM ({DNA_READS_RAW}) raw"
 
+def kin_refs(base: str) -> str:
+    """References with relatives: twins, twins of another taxon, and copies changed in one place."""
+    changed = "substr(seq, 1, 200) || translate(substr(seq, 201, 1), 'ACGT', 'CGTA') || substr(seq, 202)"
+    return f"""
+SELECT db_id, ref_id, header, seq, tax_id FROM {base} a
+UNION ALL SELECT db_id, ref_id + 1000000000, header || ' twin', seq, tax_id FROM {base} b WHERE ref_id % 2 = 0
+UNION ALL SELECT db_id, ref_id + 2000000000, header || ' cousin', seq, tax_id + 100 FROM {base} c WHERE ref_id % 4 = 0
+UNION ALL SELECT db_id, ref_id + 3000000000, header || ' changed', {changed}, tax_id FROM {base} d WHERE ref_id % 3 = 0
+"""
+
+
+def copied_reads(base: str) -> str:
+    """Reads, a third of them twice and a quarter turned round."""
+    return f"""
+SELECT q, header, seq FROM {base} a
+UNION ALL SELECT q + 1000000000, header || ' again', seq FROM {base} b WHERE q % 3 = 0
+UNION ALL SELECT q + 2000000000, header || ' turned', reverse(translate(seq, 'ACGT', 'TGCA')) FROM {base} c WHERE q % 4 = 0
+"""
+
+
 TABLES = ["benchmark", "conversations", "customer", "documents", "labels", "pages", "part"]
 
 

@@ -170,15 +170,33 @@ def _results(members: str, winners: str, reads: str) -> str:
     JOIN {reads} r USING (q)"""
 
 
-def _chain(prefix: str, refs: str, reads: str, t: int, both: bool, extend: bool = True, top: bool = True) -> dict[str, str]:
+def _fnv(kmer: str, k: int) -> str:
+    h = "CAST(2166136261 AS BIGINT)"
+    for i in range(1, k + 1):
+        h = f"xor(({h} * 16777619) & 4294967295, CAST(ascii(substr({kmer}, {i}, 1)) AS BIGINT))"
+    return h
+
+
+def _fold(bits: int) -> str:
+    return f"xor(h32 >> {bits}, h32) & {(1 << bits) - 1}"
+
+
+def _sampled(postings: str, k: int, pct: int) -> str:
+    return f"SELECT * FROM (SELECT *, {_fnv('kmer', k)} AS h32 FROM ({postings})) WHERE ({_fold(28)}) % 100 < {pct}"
+
+
+def _chain(
+    prefix: str, refs: str, reads: str, t: int, both: bool, extend: bool = True, top: bool = True, pct: int = 100
+) -> dict[str, str]:
     """The stages of one classification under names with a common prefix."""
     p = prefix
+    postings = _postings(f"{p}_refs", t)
     return {
         f"{p}_refs": refs,
         f"{p}_reads": reads,
         f"{p}_strands": _strands(f"{p}_reads", both),
         f"{p}_seeds": _seeds(f"{p}_strands", t),
-        f"{p}_postings": _postings(f"{p}_refs", t),
+        f"{p}_postings": postings if pct == 100 else _sampled(postings, t - t // 2 + 1, pct),
         f"{p}_hits": _hits(f"{p}_seeds", f"{p}_postings"),
         f"{p}_near": _near_best(f"{p}_hits"),
         f"{p}_runs": _runs(f"{p}_hits", t // 2),
@@ -226,6 +244,13 @@ STAGES: dict[str, str] = {
     "cut_texts": """SELECT db_id, ref_id * 10 + chunk AS ref_id, header, substr(seq, chunk * 128 + 1, 128) AS seq, tax_id
                     FROM (SELECT *, unnest(range(0, (length(seq) + 127) // 128)) AS chunk FROM dna_refs)""",
     **_chain("cut", "SELECT * FROM cut_texts", "SELECT * FROM dna_reads", T, both=True),
+    **_chain("kin", fx.kin_refs("dna_refs"), "SELECT * FROM dna_reads", T, both=True, top=False),
+    **_chain("copied", "SELECT * FROM kin_refs", fx.copied_reads("dna_reads"), T, both=True, top=False),
+    **_chain("thin", "SELECT * FROM dna_refs", "SELECT * FROM dna_reads", T, both=True, pct=60),
+    "thin_unextended": _segments("thin_candidates", "thin_strands", "thin_refs", T, extend=False),
+    "kin_parts": """SELECT *, (row_number() OVER (PARTITION BY q, grp ORDER BY ord, ref_id) - 1) // 2 AS part_no
+                    FROM kin_members JOIN (SELECT q, grp, tax_id, ord FROM kin_winners) USING (q, grp, tax_id)""",
+    "kin_lines": """SELECT *, (row_number() OVER (PARTITION BY q, grp ORDER BY ref_id) - 1) // 2 AS part_no FROM kin_members""",
     **_chain("short", "SELECT * FROM dna_refs", "SELECT * FROM dna_reads", 18, both=True),
 }
 
@@ -266,17 +291,6 @@ def _tier_rows(columns: str) -> str:
     )
 
 
-def _fnv(kmer: str, k: int) -> str:
-    h = "CAST(2166136261 AS BIGINT)"
-    for i in range(1, k + 1):
-        h = f"xor(({h} * 16777619) & 4294967295, CAST(ascii(substr({kmer}, {i}, 1)) AS BIGINT))"
-    return h
-
-
-def _fold(bits: int) -> str:
-    return f"xor(h32 >> {bits}, h32) & {(1 << bits) - 1}"
-
-
 def _suppressed(postings: str, cap: int = 20) -> str:
     return f"""
     SELECT * FROM {postings} WHERE kmer IN (
@@ -393,6 +407,15 @@ _SQL: dict[str, str] = {
     "classify_text_stored": f"SELECT {RESULT} FROM text_results",
     "classify_split": "SELECT q, grp, confident, header, tax_id FROM cut_members",
     "classify_short": f"SELECT {RESULT} FROM short_results",
+    "classify_kin": f"SELECT {RESULT} FROM kin_results",
+    "classify_collapsed": f"SELECT {RESULT} FROM copied_results",
+    "classify_sampled": " UNION ALL ".join(
+        f"SELECT '{name}' AS tier, q, confident, tax_ids, headers FROM thin_results WHERE confident >= {low}"
+        for name, low in (("raw", -1.0), ("high_sensitivity", 0.4), ("balanced", 0.7))
+    ),
+    "segment_filter_sampled": f"SELECT q, strand, ref_id, q_start, r_start, m FROM thin_unextended WHERE m >= {T}",
+    "classify_stream": f"SELECT {RESULT} FROM dna_results",
+    "unique_seeds_stored": "SELECT count(DISTINCT kmer) AS n, true AS close FROM dna_postings",
     "classify_fast": f"SELECT {RESULT} FROM quick_results",
     # taxon vote and report
     "tax_occurrences": "SELECT q, grp, confident, tax_id, n FROM dna_occurrences",
@@ -403,6 +426,16 @@ _SQL: dict[str, str] = {
     "screen_rows": """SELECT q, r.header AS query_header, confident, refs, grp FROM (
         SELECT q, grp, confident, string_agg(CAST(ref_id AS STRING) || ';' || header || ';', ';' ORDER BY ref_id) AS refs
         FROM dna_members GROUP BY q, grp, confident) JOIN dna_reads r USING (q)""",
+    "score_groups_kin": "SELECT q, ref_id, confident, grp FROM kin_groups",
+    "top_group_only_kin": "SELECT q, ref_id, confident, grp FROM kin_groups WHERE grp = 1",
+    "winning_taxa_kin": "SELECT q, grp, confident, tax_id, n, ord FROM kin_winners",
+    "result_parts": """SELECT q, query_header, confident, tax_ids, occurrences, p.headers, grp, part_no FROM kin_results
+        JOIN (SELECT q, grp, part_no, string_agg(header, ',' ORDER BY ord, ref_id) AS headers FROM kin_parts GROUP BY ALL) p
+        USING (q, grp)""",
+    "screen_parts": """SELECT q, r.header AS query_header, confident, refs, grp, part_no FROM (
+        SELECT q, grp, confident, part_no,
+               string_agg(CAST(ref_id AS STRING) || ';' || header || ';', ';' ORDER BY ref_id) AS refs
+        FROM kin_lines GROUP BY q, grp, confident, part_no) JOIN dna_reads r USING (q)""",
     "tiers": _tier_rows("q, confident"),
     "relative_abundance": """SELECT header, round(100.0 * count(*) / (SELECT count(*) FROM dna_results), 6) AS pct
         FROM (SELECT split_part(headers, ',', 1) || ', primary' AS header FROM dna_results) GROUP BY header""",

@@ -16,6 +16,7 @@ from seedweave.operators import kmers, matching, ranking, report, scoring
 from seedweave.operators import sequences as seqs
 from seedweave.params import MatchParams
 from seedweave.plans import classify as plans
+from seedweave.plans import collapse, stream
 from seedweave.session import default_spread, provide_stage_root, stage_root, write_stage
 from seedweave.sources import index_store, lookups, results
 from seedweave.sources import sequences as seq_io
@@ -192,6 +193,37 @@ def dna_results(spark, sf_dir):
     return report.report(top, dna_refs(spark, sf_dir), dna_reads(spark, sf_dir))
 
 
+@stage("kin-refs")
+def kin_refs(spark, sf_dir):
+    return fx.run_sql(spark, sf_dir, fx.kin_refs(f"({fx.DNA_REFS})")).withColumn("ref_len", F.length("seq"))
+
+
+@stage("kin-scores")
+def kin_scores(spark, sf_dir):
+    return plans.score_reads(dna_reads(spark, sf_dir), ix.build_index(kin_refs(spark, sf_dir), THRESHOLD), THRESHOLD)
+
+
+@stage("kin-groups")
+def kin_groups(spark, sf_dir):
+    return ranking.score_groups(ranking.best_strand(kin_scores(spark, sf_dir)), top_only=False)
+
+
+@stage("kin-members")
+def kin_members(spark, sf_dir):
+    return report.with_reference(kin_groups(spark, sf_dir), kin_refs(spark, sf_dir))
+
+
+@stage("copied-reads")
+def copied_reads(spark, sf_dir):
+    return fx.as_sequences(fx.run_sql(spark, sf_dir, fx.copied_reads(f"({fx.DNA_READS})")), "q")
+
+
+def sampled_index(spark, sf_dir):
+    path = scratch(spark, "sampleable")
+    index_store.write_index(dna_index(spark, sf_dir), path, n_buckets=4, sampleable=True)
+    return index_store.read_index(spark, path, THRESHOLD, pct=60)
+
+
 # ---- sources and sinks ----------------------------------------------------
 
 
@@ -713,6 +745,64 @@ def score_reads_dense(spark, sf_dir):
     return scores.select("q", "ref_id", "sum_sq", "considered", "covered", F.round("score", 6).alias("score"))
 
 
+@query
+def classify_kin(spark, sf_dir):
+    """Every score group, against references of which many are copies or nearly so."""
+    return plans.classify(dna_reads(spark, sf_dir), kin_refs(spark, sf_dir), THRESHOLD, top_only=False).drop("confident_text")
+
+
+@query
+def classify_collapsed(spark, sf_dir):
+    """Equal reads, turned reads and equal references are scored once, in groups of two copies a salt."""
+    rows = collapse.classify_collapsed(
+        copied_reads(spark, sf_dir), kin_refs(spark, sf_dir), THRESHOLD, top_only=False, rows_per_salt=2
+    )
+    return rows.drop("confident_text")
+
+
+@query
+def classify_sampled(spark, sf_dir):
+    """Six tenths of a stored index's k-mers: no high-precision tier."""
+    rows = plans.classify_tiers(dna_reads(spark, sf_dir), sampled_index(spark, sf_dir), threshold=THRESHOLD)
+    return rows.select("tier", "q", "confident", "tax_ids", "headers")
+
+
+@query
+def segment_filter_sampled(spark, sf_dir):
+    """Unextended runs of sampled seeds, many of them shorter than the threshold."""
+    reads, index = dna_reads(spark, sf_dir), sampled_index(spark, sf_dir)
+    seeds = kmers.query_seeds(seqs.both_strands(reads), THRESHOLD)
+    hits = write_stage(matching.seed_hits(seeds, index.postings, index.hot), "sampled-hits")
+    runs = write_stage(matching.candidate_runs(hits_to_runs(hits), PARAMS.step), "sampled-candidates")
+    segments = scoring.segment_filter(scoring.keep_unextended(runs, reads, index.refs), THRESHOLD)
+    return segments.select("q", "strand", "ref_id", "q_start", "r_start", "m")
+
+
+def hits_to_runs(hits: DataFrame) -> DataFrame:
+    return matching.chain_runs(matching.consecutive_seed_filter(hits, PARAMS.step), PARAMS.step)
+
+
+@query
+def classify_stream(spark, sf_dir):
+    """Reads that arrive in files, one file a batch."""
+    source, out, checkpoint = (scratch(spark, name) for name in ("arriving", "answers", "stream"))
+    reads = dna_reads(spark, sf_dir)
+    reads.repartition(3, "seq_id").write.parquet(source)
+    arriving = spark.readStream.schema(reads.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    stream.classify_stream(arriving, dna_index(spark, sf_dir), out, checkpoint, threshold=THRESHOLD).awaitTermination()
+    return spark.read.parquet(out).drop("confident_text", "batch_id")
+
+
+@query
+def unique_seeds_stored(spark, sf_dir):
+    """Distinct k-mers of two stored indexes, and whether their sketches come within 3 percent."""
+    paths = _stored_halves(spark, sf_dir)
+    exact = ix.unique_seeds(index_store.read_index(spark, paths, THRESHOLD).postings).scalar()
+    estimate = index_store.unique_seeds_stored(spark, paths)
+    close = F.abs(F.col("n") - exact) <= F.lit(0.03) * exact
+    return estimate.select(exact.cast("bigint").alias("n"), close.alias("close"))
+
+
 # ---- taxon vote and report ------------------------------------------------
 
 
@@ -750,6 +840,33 @@ def screen_rows(spark, sf_dir):
     return report.screen_rows(top, dna_refs(spark, sf_dir), dna_reads(spark, sf_dir))
 
 
+@query
+def score_groups_kin(spark, sf_dir):
+    return kin_groups(spark, sf_dir).select("q", "ref_id", "confident", "grp")
+
+
+@query
+def top_group_only_kin(spark, sf_dir):
+    return ranking.top_group_only(kin_groups(spark, sf_dir)).select("q", "ref_id", "confident", "grp")
+
+
+@query
+def winning_taxa_kin(spark, sf_dir):
+    return report.winning_taxa(report.tax_occurrences(kin_members(spark, sf_dir)))
+
+
+@query
+def result_parts(spark, sf_dir):
+    """At most two references a row."""
+    rows = report.report(kin_groups(spark, sf_dir), kin_refs(spark, sf_dir), dna_reads(spark, sf_dir), part_size=2)
+    return rows.drop("confident_text")
+
+
+@query
+def screen_parts(spark, sf_dir):
+    return report.screen_parts(kin_groups(spark, sf_dir), kin_refs(spark, sf_dir), dna_reads(spark, sf_dir), part_size=2)
+
+
 @query
 def tiers(spark, sf_dir):
     return report.tiers(dna_results(spark, sf_dir)).select("tier", "q", "confident")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seedweave.functions import text
@@ -220,8 +220,13 @@ def sample_index(index: Index, pct: float) -> Index:
     return replace(index, postings=kept, sampled=index.sampled or pct < 100, complete=False)
 
 
+def fingerprint_percent(kmer: str, k: int) -> Column:
+    """0 to 99 by fingerprint; a sample of p percent is what lies below p."""
+    return F.pmod(text.fingerprint(kmer, k), F.lit(100))
+
+
 def sample_postings(postings: DataFrame, k: int, pct: float) -> DataFrame:
-    return postings.where(F.pmod(text.fingerprint("kmer", k), F.lit(100)) < pct)
+    return postings.where(fingerprint_percent("kmer", k) < pct)
 
 
 def prune_index_to_queries(postings: DataFrame, seeds: DataFrame) -> DataFrame:

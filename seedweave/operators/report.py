@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from seedweave.session import write_stage
 
 GROUP = ["q", "grp", "confident"]
+# References per part of an output line, and reference ids per block of the numbering.
+PART_SIZE, REF_SPAN = 1_000, 65_536
 
 
 def with_reference(grouped: DataFrame, refs_meta: DataFrame) -> DataFrame:
@@ -61,10 +63,41 @@ def header_list(members: DataFrame, winners: DataFrame) -> DataFrame:
     )
 
 
-def result_rows(lists: DataFrame, headers: DataFrame, reads: DataFrame) -> DataFrame:
-    """The result table: one row per read and score group."""
+def _placed(rows: DataFrame, order: str, part_size: int) -> DataFrame:
+    """Adds ``part_no``: the row's place in its group by (``order``, ref_id), divided by ``part_size``.
+
+    Places come from two passes: rows are counted per block of REF_SPAN
+    reference ids, combined before the shuffle, and the blocks' running sums
+    shift the places inside a block.  No window sees more than a block's rows
+    or a group's blocks.
+    """
+    block = [*GROUP, order, "block"]
+    cut = rows.withColumn("block", F.floor(F.col("ref_id") / REF_SPAN))
+    earlier = Window.partitionBy(*GROUP).orderBy(order, "block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy(*block).agg(F.count(F.lit(1)).alias("n"))
+    shifts = sizes.select(*block, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy(*block).orderBy("ref_id"))
+    return cut.join(shifts, block).withColumn("part_no", F.floor((F.col("before") + inside - 1) / part_size)).drop("block", "before")
+
+
+def header_parts(members: DataFrame, winners: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
+    """``header_list`` in numbered parts of at most ``part_size`` references.
+
+    Parts joined in order of ``part_no`` are the packed list; a read that ties
+    on all references makes more rows, not longer ones.
+    """
+    won = members.join(winners.select(*GROUP, "tax_id", "ord"), [*GROUP, "tax_id"])
+    parts = _placed(won.select(*GROUP, "ord", "ref_id", "header"), "ord", part_size)
+    packed = F.sort_array(F.collect_list(F.struct("ord", "ref_id", "header")))
+    return parts.groupBy(*GROUP, "part_no").agg(packed.alias("h")).select(
+        *GROUP, "part_no", F.array_join(F.transform("h", lambda x: x["header"]), ",").alias("headers")
+    )
+
+
+def named(answers: DataFrame, reads: DataFrame) -> DataFrame:
+    """Answers with their reads' headers, under the columns of a result row."""
     names = reads.select(F.col("seq_id").alias("q"), F.col("header").alias("query_header"))
-    return lists.join(headers, GROUP).join(names, "q").select(
+    return answers.join(names, "q").select(
         "q",
         "query_header",
         "confident",
@@ -73,14 +106,28 @@ def result_rows(lists: DataFrame, headers: DataFrame, reads: DataFrame) -> DataF
         "occurrences",
         "headers",
         "grp",
+        *[c for c in answers.columns if c == "part_no"],
     )
 
 
-def report(grouped: DataFrame, refs_meta: DataFrame, reads: DataFrame) -> DataFrame:
-    """Score groups to result rows, through the taxon vote."""
-    members = with_reference(grouped, refs_meta)
+def result_rows(lists: DataFrame, headers: DataFrame, reads: DataFrame) -> DataFrame:
+    """The result table: one row per read and score group, or per part of its headers."""
+    return named(lists.join(headers, GROUP), reads)
+
+
+def answers(members: DataFrame, part_size: int | None = None) -> DataFrame:
+    """Taxon vote and headers of each score group, without the reads' headers."""
     winners = winning_taxa(tax_occurrences(members))
-    return result_rows(tax_lists(winners), header_list(members, winners), reads)
+    headers = header_parts(members, winners, part_size) if part_size else header_list(members, winners)
+    return tax_lists(winners).join(headers, GROUP)
+
+
+def report(grouped: DataFrame, refs_meta: DataFrame, reads: DataFrame, part_size: int | None = None) -> DataFrame:
+    """Score groups to result rows, through the taxon vote.
+
+    ``part_size`` bounds the references of a row and adds ``part_no``.
+    """
+    return named(answers(with_reference(grouped, refs_meta), part_size), reads)
 
 
 def screen_rows(grouped: DataFrame, refs_meta: DataFrame, reads: DataFrame) -> DataFrame:
@@ -96,6 +143,19 @@ def screen_rows(grouped: DataFrame, refs_meta: DataFrame, reads: DataFrame) -> D
     return lines.join(names, "q").select("q", "query_header", "confident", "refs", "grp")
 
 
+def screen_parts(grouped: DataFrame, refs_meta: DataFrame, reads: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
+    """``screen_rows`` in numbered parts of at most ``part_size`` references."""
+    names = reads.select(F.col("seq_id").alias("q"), F.col("header").alias("query_header"))
+    item = F.struct("ref_id", F.concat_ws(";", F.col("ref_id").cast("string"), "header", F.lit("")).alias("item"))
+    lines = (
+        _placed(with_reference(grouped, refs_meta).select(*GROUP, F.lit(0).alias("ord"), "ref_id", "header"), "ord", part_size)
+        .groupBy(*GROUP, "part_no")
+        .agg(F.sort_array(F.collect_list(item)).alias("i"))
+        .select(*GROUP, "part_no", F.array_join(F.transform("i", lambda x: x["item"]), ";").alias("refs"))
+    )
+    return lines.join(names, "q").select("q", "query_header", "confident", "refs", "grp", "part_no")
+
+
 def relative_abundance(members: DataFrame, winners: DataFrame) -> DataFrame:
     """Share of the result rows per first reference header, in percent.
 

@@ -87,15 +87,32 @@ def classify(
     threshold: int = DEFAULT_THRESHOLD,
     mode: str = "sensitive",
     top_only: bool = True,
+    part_size: int | None = None,
     **options,
 ) -> DataFrame:
-    """Result rows: the best references of each read with their taxon vote."""
+    """Result rows: the best references of each read with their taxon vote.
+
+    ``part_size`` bounds the references that one row names; a read that ties
+    on more gets several rows, told apart by ``part_no``.
+    """
     if not isinstance(refs, Index):
         spread = options.pop("spread", None)
         table = refs.repartition(spread) if spread else refs
         refs = build_index(seqs.normalize_seq(table), threshold)
     grouped = classify_scores(reads, refs, top_only, threshold=threshold, mode=mode, **options)
-    return report.report(grouped, refs.refs.drop("seq"), reads)
+    return report.report(grouped, refs.refs.drop("seq"), reads, part_size)
+
+
+def classify_tiers(
+    reads: DataFrame, refs: DataFrame | Index, hs: float = 0.4, bal: float = 0.7, hp: float = 1.0, **options
+) -> DataFrame:
+    """Result rows once per tier they reach.
+
+    The index knows whether its k-mers are a sample, and only a whole index
+    vouches for the high-precision tier.
+    """
+    results = write_stage(classify(reads, refs, **options), "results")
+    return report.tiers(results, hs, bal, hp, sampled=isinstance(refs, Index) and refs.sampled)
 
 
 def classify_fast(reads: DataFrame, refs: DataFrame | Index, **options) -> DataFrame:
