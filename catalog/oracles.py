@@ -341,6 +341,7 @@ _SQL: dict[str, str] = {
         FROM dna_refs LEFT JOIN header_names ON header = old""",
     "ref_kmers": "SELECT db_id, ref_id, rpos, kmer FROM dna_postings",
     "ref_kmers_text": PROFILE.format("text_postings"),
+    "ref_kmers_dealt": PROFILE.format("text_postings"),
     "query_seeds": "SELECT q, strand, qpos, kmer FROM dna_seeds",
     "query_seeds_text": "SELECT q, strand, qpos, kmer FROM self_seeds",
     "drop_all_n": f"""SELECT ref_id, count(*) AS n, min(rpos) AS first_rpos FROM ({_postings(

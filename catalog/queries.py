@@ -394,6 +394,12 @@ def ref_kmers(spark, sf_dir):
     return kmers.ref_kmers(dna_refs(spark, sf_dir), PARAMS.k)
 
 
+@query
+def ref_kmers_dealt(spark, sf_dir):
+    """All documents, long ones in parts that move to other tasks."""
+    return _posting_profile(kmers.ref_kmers(text_refs(spark, sf_dir), PARAMS.k, spread=default_spread(spark)))
+
+
 @query
 def ref_kmers_text(spark, sf_dir):
     """All k-mers of all documents, profiled per document."""

@@ -81,15 +81,22 @@ def refs_meta(refs: DataFrame, accession_map: DataFrame | None = None, db_id: in
 
 
 def build_index(
-    refs: DataFrame, threshold: int, accession_map: DataFrame | None = None, suppress: bool = False
+    refs: DataFrame,
+    threshold: int,
+    accession_map: DataFrame | None = None,
+    suppress: bool = False,
+    spread: int | None = None,
 ) -> Index:
     """An index over normalized references, evaluated lazily.
 
+    ``spread`` cuts k-mers in that many partitions, for references so long
+    that one of them would keep a task busy alone.
+
     ``suppress`` applies the suppression rule, which drops the frequent k-mers
     of thresholds below 20; without it the index holds every k-mer.
     """
     meta = refs_meta(refs, accession_map)
-    postings = ref_kmers(meta, MatchParams(threshold).k)
+    postings = ref_kmers(meta, MatchParams(threshold).k, spread=spread)
     suppress = suppress and threshold < SUPPRESS_BELOW
     if suppress:
         postings = suppress_frequent_seeds(postings, threshold)

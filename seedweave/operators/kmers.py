@@ -12,14 +12,19 @@ from seedweave.params import MatchParams
 # Characters of reference text per exploded piece.  A piece's k-mers live in
 # one row's array, so this also bounds that array.
 PIECE = 1024
+# Pieces per row that moves when the text of long references is spread.
+PIECES_MOVED = 64
 
 
-def ref_kmers(refs: DataFrame, k: int, piece: int = PIECE, skip_all_n: bool = True) -> DataFrame:
+def ref_kmers(refs: DataFrame, k: int, piece: int = PIECE, skip_all_n: bool = True, spread: int | None = None) -> DataFrame:
     """Postings (db_id, ref_id, rpos, kmer): every k-mer of every reference.
 
     A narrow two-step explosion: text into pieces that overlap by k-1, pieces
     into k-mers.  No row ever holds more than one piece's k-mers, but
-    the pieces of one reference are cut in one task.  The ``_outer`` forms keep the
+    the pieces of one reference are cut in one task.  With ``spread``, references
+    are cut into long pieces first and these are dealt to that many partitions,
+    so the k-mers of one chromosome are cut in many tasks; the text moves once,
+    before it becomes k-mers.  The ``_outer`` forms keep the
     optimizer from adding a size filter that would run the cut a second time.
     """
     keys = ["db_id", "ref_id"]
@@ -27,12 +32,21 @@ def ref_kmers(refs: DataFrame, k: int, piece: int = PIECE, skip_all_n: bool = Tr
         refs = refs.withColumn("db_id", F.lit(0))
     # No filter on the text's length: it would evaluate an upstream text
     # expression once more, and a short text yields no k-mer anyway.
-    cut = refs.select(*keys, F.posexplode_outer(text.overlapping_pieces("seq", piece, k - 1)).alias("piece_no", "piece"))
-    words = cut.select(*keys, "piece_no", F.posexplode_outer(text.kmers_of("piece", k)).alias("i", "kmer"))
+    start = F.lit(0)
+    if spread:
+        long = PIECES_MOVED * piece
+        refs = refs.select(*keys, F.posexplode_outer(text.overlapping_pieces("seq", long, k - 1)).alias("long_no", "seq"))
+        refs = refs.repartition(spread, "ref_id", "long_no")
+        start = F.col("long_no") * long
+    # A short rest behind the last start of a long piece has fewer than k characters, so no k-mer comes twice.
+    cut = refs.select(
+        *keys, start.alias("start"), F.posexplode_outer(text.overlapping_pieces("seq", piece, k - 1)).alias("piece_no", "piece")
+    )
+    words = cut.select(*keys, "start", "piece_no", F.posexplode_outer(text.kmers_of("piece", k)).alias("i", "kmer"))
     kept = words.where(F.col("kmer").isNotNull())
     if skip_all_n:
         kept = drop_all_n(kept, k)
-    return kept.select(*keys, (F.col("piece_no") * piece + F.col("i")).alias("rpos"), "kmer")
+    return kept.select(*keys, (F.col("start") + F.col("piece_no") * piece + F.col("i")).alias("rpos"), "kmer")
 
 
 def drop_all_n(kmers: DataFrame, k: int) -> DataFrame:

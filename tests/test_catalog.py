@@ -9,6 +9,7 @@ QUICK = [
     "classify_two_indexes", "lookup_taxid_repeated", "relative_abundance", "read_fasta", "read_fastq", "read_sequence_table", "union_indexes", "split_reference", "translate_headers",
     "suppress_frequent_seeds", "sample_index", "fetch_flanks", "screen_rows", "write_results_tiered",
     "classify_text", "classify_all_groups", "duplicate_queries",
+    "classify_collapsed", "winning_taxa_kin", "result_parts", "unique_seeds_stored",
 ]
 
 
