@@ -33,3 +33,18 @@ def db():
 def test_query_equals_sql(spark, db, name):
     same, detail = check.compare(spark, db, SMALL, name, driver.oracle_sql()[name])
     assert same, detail
+
+
+def test_references_are_not_broadcast_to_the_reads(spark, monkeypatch):
+    # Spark takes a text made by an expression for 20 bytes, so by its own measure a million references fit.
+    plans, write = {}, queries.write_stage
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(queries, "write_stage", seen)
+    queries.clear_stages()
+    queries.dna_reads(spark, SMALL)
+    assert "SortMergeJoin" in plans["dna-reads-raw"]
+    assert "BroadcastHashJoin" not in plans["dna-reads-raw"]
