@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -299,13 +302,54 @@ def _stored_halves(spark, sf_dir) -> list[str]:
     return [_stored(spark, sf_dir, f"ref_id % 2 = {i}") for i in (0, 1)]
 
 
+def _extent(*, n, rpos, low, high) -> list[Column]:
+    return [
+        n.alias("n"),
+        F.sum(rpos).alias("rpos_sum"),
+        F.min(low).alias("min_kmer"),
+        F.max(high).alias("max_kmer"),
+    ]
+
+
 def _posting_profile(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("db_id", "ref_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("rpos").alias("rpos_sum"),
-        F.min("kmer").alias("min_kmer"),
-        F.max("kmer").alias("max_kmer"),
-    )
+    return postings.groupBy("db_id", "ref_id").agg(*_extent(n=F.count(F.lit(1)), rpos="rpos", low="kmer", high="kmer"))
+
+
+def _reduced_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each row of neighbours in a batch that belong to one reference."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("db_id", "ref_id")]
+        starts = np.flatnonzero(np.concatenate([[True], (ids[0][1:] != ids[0][:-1]) | (ids[1][1:] != ids[1][:-1])]))
+        sizes = np.diff(np.append(starts, batch.num_rows))
+        rpos = batch.column("rpos").to_numpy(zero_copy_only=False).astype(np.int64)
+        kmer = batch.column("kmer")
+        ends = [pc.min_max(kmer.slice(at, n)) for at, n in zip(starts.tolist(), sizes.tolist())]
+        first = pa.array(starts)
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("db_id").take(first),
+                batch.column("ref_id").take(first),
+                pa.array(sizes),
+                pa.array(np.add.reduceat(rpos, starts)),
+                pa.array([e["min"].as_py() for e in ends], pa.string()),
+                pa.array([e["max"].as_py() for e in ends], pa.string()),
+            ],
+            names=["db_id", "ref_id", "n", "rpos_sum", "low", "high"],
+        )
+
+
+def _profile_in_order(postings: DataFrame) -> DataFrame:
+    """``_posting_profile`` of postings that come reference by reference.
+
+    Spark sorts every row for the least and greatest of a text column.  So the rows of a batch are reduced first, and
+    a row per batch and reference is left to sort.
+    """
+    schema = "db_id INT, ref_id BIGINT, n BIGINT, rpos_sum BIGINT, low STRING, high STRING"
+    typed = postings.select(F.col("db_id").cast("int"), F.col("ref_id").cast("bigint"), "rpos", "kmer")
+    runs = typed.mapInArrow(_reduced_runs, schema)
+    return runs.groupBy("db_id", "ref_id").agg(*_extent(n=F.sum("n"), rpos="rpos_sum", low="low", high="high"))
 
 
 @query
@@ -325,7 +369,7 @@ def read_index(spark, sf_dir):
 def union_indexes(spark, sf_dir):
     refs = dna_refs(spark, sf_dir)
     halves = [ix.build_index(refs.where(f"ref_id % 2 = {i}"), THRESHOLD) for i in (0, 1)]
-    return _posting_profile(ix.union_indexes(halves).postings)
+    return _profile_in_order(ix.union_indexes(halves).postings)
 
 
 @query
@@ -405,13 +449,13 @@ def ref_kmers(spark, sf_dir):
 @query
 def ref_kmers_dealt(spark, sf_dir):
     """All documents, long ones in parts that move to other tasks."""
-    return _posting_profile(kmers.ref_kmers(text_refs(spark, sf_dir), PARAMS.k, spread=default_spread(spark)))
+    return _profile_in_order(kmers.ref_kmers(text_refs(spark, sf_dir), PARAMS.k, spread=default_spread(spark)))
 
 
 @query
 def ref_kmers_text(spark, sf_dir):
     """All k-mers of all documents, profiled per document."""
-    return _posting_profile(kmers.ref_kmers(text_refs(spark, sf_dir), PARAMS.k))
+    return _profile_in_order(kmers.ref_kmers(text_refs(spark, sf_dir), PARAMS.k))
 
 
 @query

@@ -48,3 +48,23 @@ def test_references_are_not_broadcast_to_the_reads(spark, monkeypatch):
     queries.dna_reads(spark, SMALL)
     assert "SortMergeJoin" in plans["dna-reads-raw"]
     assert "BroadcastHashJoin" not in plans["dna-reads-raw"]
+
+
+@pytest.mark.parametrize("name", ["ref_kmers_text", "ref_kmers_dealt", "union_indexes"])
+def test_profiles_do_not_sort_every_posting(spark, name):
+    plan = queries.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan[plan.rindex("Sort [") :]
+
+
+@pytest.mark.parametrize("order", [["db_id", "ref_id", "rpos"], ["rpos", "ref_id"]])
+def test_profile_of_small_batches(spark, order):
+    texts = [(0, 1, "ACGTTGCA"), (0, 2, "A"), (1, 1, "zz\u00e4\U0001f600zz"), (1, 3, "NNNNNACG")]
+    refs = spark.createDataFrame(texts, "db_id INT, ref_id BIGINT, seq STRING")
+    postings = queries.kmers.ref_kmers(refs, 3).repartition(2).sortWithinPartitions(*order)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        found = sorted(queries._profile_in_order(postings).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert found == sorted(queries._posting_profile(postings).collect())
