@@ -511,7 +511,9 @@ def sort_references(spark, sf_dir):
 
 @query
 def posting_lists(spark, sf_dir):
-    lists = ix.posting_lists(dna_postings(spark, sf_dir))
+    refs = dna_refs(spark, sf_dir)
+    n_postings = refs.agg(F.sum(F.greatest(F.col("ref_len") - PARAMS.k + 1, F.lit(0)))).first()[0] or 0
+    lists = ix.posting_lists(kmers.ref_kmers(refs, PARAMS.k), n_postings=n_postings)
     entry = F.transform("entries", lambda e: F.concat_ws(":", e["rpos"].cast("string"), e["ref_id"].cast("string")))
     return lists.select("kmer", "ref_part", "pos_part", "n_postings", F.array_join(entry, ",").alias("entries"))
 

@@ -144,20 +144,26 @@ def _shifted(index: Index, db_offset: int, ref_offset: int) -> Index:
     return replace(index, postings=index.postings.withColumns(ids), refs=index.refs.withColumns(ids), spans=None, blocks=())
 
 
-def posting_lists(postings: DataFrame, ref_span: int = 64, pos_span: int = 4096) -> DataFrame:
+# Postings of one task that collects lists; all their rows are sorted at once.
+POSTINGS_PER_TASK = 1_000_000
+
+
+def posting_lists(postings: DataFrame, ref_span: int = 64, pos_span: int = 4096, n_postings: int = 0) -> DataFrame:
     """Posting lists (kmer, part keys, n_postings, entries sorted by position).
 
     A k-mer's list is kept in parts of at most ref_span references by pos_span
-    positions, so the list of a k-mer that is everywhere is spread out.
+    positions, so the list of a k-mer that is everywhere is spread out.  Most
+    lists are short, so postings move as they are: lists combined before the
+    shuffle would be sorted there and take more room.  ``n_postings``, where
+    known, gives the shuffle a partition for each POSTINGS_PER_TASK.
     """
     entry = F.struct("rpos", "ref_id")
-    return (
-        postings.groupBy(
-            "kmer",
-            F.floor(F.col("ref_id") / ref_span).alias("ref_part"),
-            F.floor(F.col("rpos") / pos_span).alias("pos_part"),
-        )
-        .agg(F.count(F.lit(1)).alias("n_postings"), F.sort_array(F.collect_list(entry)).alias("entries"))
+    parts = [(F.col("ref_id") / ref_span, "ref_part"), (F.col("rpos") / pos_span, "pos_part")]
+    keys = ["kmer", *[F.floor(part).alias(name) for part, name in parts]]
+    n = -(-n_postings // POSTINGS_PER_TASK)
+    moved = postings.select("kmer", "ref_id", "rpos").repartition(*([n] if n > 1 else []), "kmer", *[F.floor(part) for part, _ in parts])
+    return moved.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_postings"), F.sort_array(F.collect_list(entry)).alias("entries")
     )
 
 
