@@ -68,3 +68,25 @@ def test_profile_of_small_batches(spark, order):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert found == sorted(queries._posting_profile(postings).collect())
+
+
+@pytest.mark.parametrize("name", ["posting_lists", "sample_index"])
+def test_kmers_are_not_written_before_one_use(spark, monkeypatch, name):
+    written, write = [], queries.write_stage
+    monkeypatch.setattr(queries, "write_stage", lambda df, name: (written.append(name), write(df, name))[1])
+    queries.clear_stages()
+    queries.QUERIES[name](spark, SMALL)
+    assert written == ["dna-refs"]
+
+
+def test_postings_move_before_lists_are_made(spark):
+    plan = queries.QUERIES["posting_lists"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan[plan.index("Exchange") :]
+
+
+def test_references_are_dealt_by_their_number(spark):
+    default = queries.default_spread(spark)
+    assert queries.default_spread(spark, 20_000 * default) == default
+    assert queries.default_spread(spark, 20_000 * default + 1) == default + 1
+    queries.clear_stages()
+    assert len(queries.dna_refs(spark, SMALL).inputFiles()) > 1
