@@ -155,3 +155,13 @@ def test_posting_lists_are_bounded(refs):
     exact, close = (ix.unique_seeds(postings, approx=a).first()["n"] for a in (False, True))
     assert exact == postings.select("kmer").distinct().count()
     assert abs(close - exact) <= 0.2 * exact
+
+
+def test_frequent_kmers_are_dropped_before_the_shuffle(spark):
+    # AAA is beyond the cap, CCC and GGG are above the cut of one, the other three are kept.
+    words = ["AAA"] * 30 + ["CCC"] * 3 + ["GGG"] * 2 + ["ACG", "CGT", "GTA"]
+    rows = [(0, i, 0, w) for i, w in enumerate(words)]
+    postings = spark.createDataFrame(rows, "db_id INT, ref_id BIGINT, rpos INT, kmer STRING")
+    kept = ix.suppress_frequent_seeds(postings, 14)
+    assert sorted(r["kmer"] for r in kept.collect()) == ["ACG", "CGT", "GTA"]
+    assert "LeftAnti" in kept._jdf.queryExecution().executedPlan().toString()
