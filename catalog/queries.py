@@ -20,7 +20,7 @@ from seedweave.operators import sequences as seqs
 from seedweave.params import MatchParams
 from seedweave.plans import classify as plans
 from seedweave.plans import collapse, stream
-from seedweave.session import default_spread, provide_stage_root, row_count, stage_root, write_stage
+from seedweave.session import default_spread, judged_by_rows, provide_stage_root, row_count, stage_root, write_stage
 from seedweave.sources import index_store, lookups, results
 from seedweave.sources import sequences as seq_io
 
@@ -61,7 +61,7 @@ def stage(name: str):
         def cached(spark: SparkSession, sf_dir: str) -> DataFrame:
             key = (spark.sparkContext.applicationId, sf_dir, name)
             if key not in _stages:
-                _stages[key] = write_stage(fn(spark, sf_dir), name)
+                _stages[key] = judged_by_rows(write_stage(fn(spark, sf_dir), name))
             return _stages[key]
 
         return cached

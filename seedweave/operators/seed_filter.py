@@ -1,11 +1,11 @@
 """A filter of fixed size over seeds, applied where k-mers are cut.
 
 Most k-mers of the references match no seed.  A blocked Bloom filter of the
-seeds, one 64-bit word a row, is small enough to be broadcast whatever the
-number of seeds, and lets nearly only matching k-mers reach the shuffle; the
-join behind it decides.  It is built by one aggregation and looked up by a
-broadcast join, so neither side leaves the JVM and nothing passes the driver
-but the table of words.
+seeds, 64-bit words of which many share a row, is small enough to be broadcast
+whatever the number of seeds, and lets nearly only matching k-mers reach the
+shuffle; the join behind it decides.  It is built by aggregations and looked up
+by a broadcast join, so neither side leaves the JVM and nothing passes the
+driver but the table of words, 16 MB at most.
 """
 
 from __future__ import annotations
@@ -15,15 +15,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD_BITS = 18
+# Words of a filter, least and most, as powers of two, and those that share a row: a row for each word takes eight
+# times the memory of the words.
+WORD_BITS, MOST_WORD_BITS = 18, 21
+ROW_WORDS = 512
 # Seeds of one filter: 8 to a word set at most 24 of its 64 bits, which lets about 3 % of other k-mers pass.
-SEEDS_PER_FILTER = 8 << WORD_BITS
+SEEDS_PER_WORD = 8
+SEEDS_PER_FILTER = SEEDS_PER_WORD << MOST_WORD_BITS
 # Cutting the k-mers again costs less than shuffling them up to about so many times.
 MOST_PASSES = 8
 
 
-def _word(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 64 - WORD_BITS)
+def _word(h: Column, word_bits: int = WORD_BITS) -> Column:
+    return F.shiftrightunsigned(h, 64 - word_bits)
 
 
 def _bits(h: Column) -> Column:
@@ -41,22 +45,38 @@ def passes_for(n_seeds: int) -> int:
     return passes if passes <= MOST_PASSES else 0
 
 
-def filtered_postings(postings: DataFrame, seeds: DataFrame, passes: int) -> list[DataFrame]:
+def word_bits_for(n_seeds: int) -> int:
+    """The size of a filter of ``n_seeds`` seeds."""
+    return min(max(WORD_BITS, (-(-n_seeds // SEEDS_PER_WORD) - 1).bit_length()), MOST_WORD_BITS)
+
+
+def _filter(hashes: DataFrame, word_bits: int) -> DataFrame:
+    """(__row, __words): the filter of the column ``__h``, with every word, in rows of ROW_WORDS words."""
+    own = hashes.select(_word(F.col("__h"), word_bits).alias("__word"), _bits(F.col("__h")).alias("__set"))
+    empty = hashes.sparkSession.range(1 << word_bits).select(F.col("id").alias("__word"), F.lit(0).cast("bigint").alias("__set"))
+    words = own.unionByName(empty).groupBy("__word").agg(F.bit_or("__set").alias("__set"))
+    packed = F.array_sort(F.collect_list(F.struct("__word", "__set")))["__set"]
+    return words.groupBy(F.expr(f"__word div {ROW_WORDS}").alias("__row")).agg(packed.alias("__words"))
+
+
+def filtered_postings(postings: DataFrame, seeds: DataFrame, passes: int, word_bits: int = WORD_BITS) -> list[DataFrame]:
     """Per range of seed hashes, the postings whose k-mer may be a seed; each posting is in one of them at most."""
-    seeds = seeds.select("kmer").withColumn("__h", F.xxhash64("kmer"))
+    seeds = seeds.select(F.xxhash64("kmer").alias("__h"))
     hashed = postings.withColumn("__h", F.xxhash64("kmer"))
+    word = _word(F.col("__h"), word_bits)
+    row, place = F.shiftright(word, ROW_WORDS.bit_length() - 1), word.bitwiseAND(F.lit(ROW_WORDS - 1)).cast("int")
     out = []
     for i in range(passes):
-        own = seeds.where(_pass_of(F.col("__h"), passes) == i)
-        words = own.groupBy(_word(F.col("__h")).alias("__word")).agg(F.bit_or(_bits(F.col("__h"))).alias("__set"))
+        own = seeds.where(_pass_of(F.col("__h"), passes) == i) if passes > 1 else seeds
         asked = hashed.where(_pass_of(F.col("__h"), passes) == i) if passes > 1 else hashed
-        met = asked.withColumn("__bits", _bits(F.col("__h"))).join(F.broadcast(words), _word(F.col("__h")) == F.col("__word"))
-        out.append(met.where(F.col("__set").bitwiseAND(F.col("__bits")) == F.col("__bits")).select(*postings.columns))
+        met = asked.withColumn("__row", row).join(F.broadcast(_filter(own, word_bits)), "__row")
+        bits = _bits(F.col("__h"))
+        out.append(met.where(F.get("__words", place).bitwiseAND(bits) == bits).select(*postings.columns))
     return out
 
 
 def join_filtered(postings: DataFrame, seeds: DataFrame, n_seeds: int) -> DataFrame:
     """``postings`` joined with ``seeds`` on the k-mer, with few other k-mers shuffled."""
     passes = passes_for(n_seeds)
-    parts = filtered_postings(postings, seeds, passes) if passes else [postings]
+    parts = filtered_postings(postings, seeds, passes, word_bits_for(-(-n_seeds // passes))) if passes else [postings]
     return reduce(DataFrame.unionByName, [p.join(seeds, "kmer") for p in parts])

@@ -11,7 +11,7 @@ from seedweave.operators import sequences as seqs
 from seedweave.operators.index import Index, build_index
 from seedweave.operators.scan import scan_postings
 from seedweave.params import DEFAULT_THRESHOLD, MatchParams
-from seedweave.session import fits_broadcast, row_count, write_stage
+from seedweave.session import fits_broadcast, judged_by_rows, row_count, write_stage
 
 MODES = ("sensitive", "fast")
 
@@ -77,7 +77,7 @@ def score_reads(
 
 def classify_scores(reads: DataFrame, refs: DataFrame | Index, top_only: bool = True, **options) -> DataFrame:
     """Long form of the answer: one row per read, score group and reference."""
-    scores = write_stage(score_reads(reads, refs, **options), "scores")
+    scores = judged_by_rows(write_stage(score_reads(reads, refs, **options), "scores"))
     return ranking.score_groups(ranking.best_strand(scores), top_only)
 
 

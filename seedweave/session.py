@@ -68,6 +68,11 @@ def broadcast_if_small(df: DataFrame, rows: int | None = None, width: int = 0, l
     return F.broadcast(df) if fits_broadcast(row_count(df) if rows is None else rows, width, limit) else df
 
 
+def judged_by_rows(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A written table that Spark must not broadcast, however well its files are compressed, if it has too many rows."""
+    return df if fits_broadcast(row_count(df) if rows is None else rows) else df.hint("merge")
+
+
 def default_spread(spark: SparkSession, rows: int = 0) -> int:
     """Partition count for sources with fewer splits than the cluster has cores.
 

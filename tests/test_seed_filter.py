@@ -4,6 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from seedweave import session
 from seedweave.operators import kmers, matching, scoring, seed_filter
 from seedweave.operators.index import build_index, union_indexes
 from seedweave.plans.classify import classify_scores
@@ -109,3 +110,39 @@ def test_classified_alike_with_nothing_broadcast(spark, text, tmp_path):
     for target in (refs, read_index(spark, str(tmp_path / "i"), 21)):
         far = classify_scores(reads, target, threshold=21, broadcast_bytes=0).select(columns)
         assert sorted(near.collect()) == sorted(far.collect())
+
+
+def test_millions_of_seeds_take_one_broadcast_of_packed_words(spark):
+    assert seed_filter.passes_for(14_400_000) == 1 and seed_filter.word_bits_for(14_400_000) == 21
+    assert [seed_filter.word_bits_for(n) for n in (0, 1, 8 << 18, (8 << 18) + 1, 1 << 40)] == [18, 18, 18, 19, 21]
+    hashes = spark.range(50_000).select(F.xxhash64("id").alias("__h"))
+    rows = seed_filter._filter(hashes, 18).collect()
+    assert len(rows) == (1 << 18) // seed_filter.ROW_WORDS and {len(r["__words"]) for r in rows} == {seed_filter.ROW_WORDS}
+    wanted = {}
+    for (h,) in hashes.collect():
+        bits = 0
+        for shift in (0, 6, 12):
+            bits |= 1 << (h >> shift & 63)
+        wanted[(h & (1 << 64) - 1) >> 46] = wanted.get((h & (1 << 64) - 1) >> 46, 0) | bits
+    got = {r["__row"] * seed_filter.ROW_WORDS + i: w & (1 << 64) - 1 for r in rows for i, w in enumerate(r["__words"]) if w}
+    assert got == wanted
+
+
+def test_many_requests_are_not_broadcast_for_their_small_files(spark, text):
+    reads, refs = text
+    runs = spark.createDataFrame(
+        [(q, "+", 0, q * 5, 2, 20, 20, 50, 50) for q in range(20)],
+        "q BIGINT, strand STRING, db_id INT, ref_id BIGINT, n_seeds INT, q_start INT, r_start INT, q_end INT, r_end INT",
+    )
+    few = scoring.fetch_flanks(runs, reads, refs.withColumnRenamed("seq_id", "ref_id"), 31)
+    many = scoring.fetch_flanks(runs, reads, refs.withColumnRenamed("seq_id", "ref_id"), 31, broadcast_bytes=0)
+    assert "Broadcast" not in many._jdf.queryExecution().executedPlan().toString()
+    assert sorted(few.collect()) == sorted(many.collect()) and many.count() == 20
+
+
+def test_a_stage_with_many_rows_is_not_broadcast(spark, tmp_path):
+    spark.range(600_000).selectExpr("id", "1 AS one").write.parquet(str(tmp_path / "t"))
+    stage = spark.read.parquet(str(tmp_path / "t"))
+    plan = lambda df: df.join(spark.range(10_000_000), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(stage) and "BroadcastHashJoin" not in plan(session.judged_by_rows(stage))
+    assert "BroadcastHashJoin" in plan(session.judged_by_rows(stage, 1000))
