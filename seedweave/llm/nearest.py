@@ -2,8 +2,8 @@
 
 A block of vectors is indexed by ``projections`` single random projections,
 each kept as one sorted array.  A query opens a window around its own value in
-every array; a vector inside the window collides there.  Radii grow by
-``GROWTH`` (virtual rehashing: the same arrays, wider windows, only the new
+every array; a vector inside the window collides there.  Radii begin where
+the query before nearly ended and grow by ``GROWTH`` (virtual rehashing: the same arrays, wider windows, only the new
 parts are counted), and a vector whose collisions reach the threshold is
 verified with its exact cosine.  The search of a block ends when ``k``
 verified vectors lie within the radius: nearer ones have reached the threshold
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import count as steps_from
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ VECTOR_BLOCK = 8192
 QUERY_BLOCK = 8192
 GROWTH = 1.1
 FIRST_RADIUS = 0.25
+# Steps of growth below the last query's radius at which the next query begins.
+START_BELOW = 2
 # Standard deviations below the mean collisions of a vector at the radius.
 SLACK = 1.0
 
@@ -72,28 +75,39 @@ class BlockIndex:
         self.row = np.arange(len(axes)) * len(units)
         self.sorted = (np.take_along_axis(values, self.order, axis=1) + self.shift[:, None]).ravel()
         self.need = threshold(len(axes))
+        self.start = 0
 
     def near(self, query: np.ndarray, k: int) -> np.ndarray:
-        """Rows verified for one unit query: at least min(k, all) of them."""
+        """Rows verified for one unit query: at least min(k, all) of them.
+
+        What a radius verifies does not depend on the radii before it, so a search begins a little below the one at
+        which the query before ended, and begins again further below if it could end there at once.
+        """
         n, m = len(self.units), len(self.axes)
         at = self.axes @ query
         place = lambda x: np.clip(np.searchsorted(self.sorted, x + self.shift) - self.row, 0, n)
-        low = high = place(at)
-        hits = np.zeros(n, dtype=np.int32)
-        done = np.zeros(n, dtype=bool)
-        within, radius = np.zeros(0), FIRST_RADIUS
+        start = self.start
         while True:
-            lo, hi = place(at - radius), place(at + radius)
-            fresh = [self.order[j, lo[j] : low[j]] for j in range(m)] + [self.order[j, high[j] : hi[j]] for j in range(m)]
-            hits += np.bincount(np.concatenate(fresh), minlength=n).astype(np.int32)
-            low, high = lo, hi
-            found = np.flatnonzero((hits >= self.need) & ~done)
-            done[found] = True
-            gaps = np.sqrt(np.maximum(0, 2 - 2 * (self.units[found] @ query)))
-            within = np.concatenate([within, gaps])
-            if (within <= radius).sum() >= k or done.all():
+            low = high = place(at)
+            hits = np.zeros(n, dtype=np.int64)
+            done = np.zeros(n, dtype=bool)
+            within = np.zeros(0)
+            for step in steps_from(start):
+                radius = FIRST_RADIUS * GROWTH**step
+                lo, hi = place(at - radius), place(at + radius)
+                fresh = [self.order[j, lo[j] : low[j]] for j in range(m)] + [self.order[j, high[j] : hi[j]] for j in range(m)]
+                hits += np.bincount(np.concatenate(fresh), minlength=n)
+                low, high = lo, hi
+                found = np.flatnonzero((hits >= self.need) & ~done)
+                done[found] = True
+                gaps = np.sqrt(np.maximum(0, 2 - 2 * (self.units[found] @ query)))
+                within = np.concatenate([within, gaps])
+                if (within <= radius).sum() >= k or done.all():
+                    break
+            if step > start or not start:
+                self.start = max(0, step - START_BELOW)
                 return np.flatnonzero(done)
-            radius *= GROWTH
+            start = max(0, start - 4 * START_BELOW)
 
 
 def _distinct(ids: np.ndarray, vectors: np.ndarray, copies: int) -> tuple[np.ndarray, list[np.ndarray]]:

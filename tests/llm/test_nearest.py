@@ -62,3 +62,21 @@ def test_several_query_blocks_equal_one(spark, shared_folder, monkeypatch):
     one = sorted(nearest.nearest(table, queries).collect())
     monkeypatch.setattr(nearest, "QUERY_BLOCK", 16)
     assert sorted(nearest.nearest(table, queries).collect()) == one
+
+
+def test_a_search_does_not_depend_on_the_queries_before(monkeypatch):
+    rng = np.random.default_rng(5)
+    units = rng.standard_normal((1500, 16))
+    units[:300] = units[0] + 0.05 * units[:300]
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    axes = nearest.directions(16, 64)
+    index, rounds = nearest.BlockIndex(units, axes), []
+    plain = np.bincount
+    monkeypatch.setattr(nearest.np, "bincount", lambda *a, **kw: rounds.append(1) or plain(*a, **kw))
+    picks = [*range(0, 300, 30), *range(400, 1500, 20)]
+    warm = [index.near(units[i], 5) for i in picks]
+    taken, rounds[:] = len(rounds), []
+    for i, got in zip(picks, warm):
+        index.start = 0
+        assert np.array_equal(index.near(units[i], 5), got)
+    assert 2 * taken < len(rounds)
