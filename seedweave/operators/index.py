@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from seedweave.functions import text
 from seedweave.operators.kmers import ref_kmers
 from seedweave.operators.sequences import lookup_taxid
+from seedweave.operators.seed_filter import join_filtered
 from seedweave.params import MatchParams, check_percentage
-from seedweave.session import BROADCAST_BYTES, ROW_BYTES, broadcast_if_small, write_stage
+from seedweave.session import BROADCAST_BYTES, ROW_BYTES, broadcast_if_small, row_count, write_stage
 
 
 @dataclass(frozen=True)
@@ -251,9 +252,13 @@ def sample_postings(postings: DataFrame, k: int, pct: float) -> DataFrame:
 
 
 def prune_index_to_queries(postings: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Only the postings whose k-mer some read asks for."""
+    """Only the postings whose k-mer some read asks for; few others are shuffled, as in ``seed_hits``."""
     asked = seeds.select("kmer").distinct()
-    return postings.join(broadcast_if_small(asked, width=128), "kmer", "left_semi")
+    n_asked = row_count(asked)
+    few = broadcast_if_small(asked, n_asked, 128)
+    if few is not asked:
+        return postings.join(few, "kmer", "left_semi")
+    return join_filtered(postings, asked, n_asked, "left_semi")
 
 
 def ref_stats(refs: DataFrame) -> DataFrame:

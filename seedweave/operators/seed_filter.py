@@ -75,8 +75,8 @@ def filtered_postings(postings: DataFrame, seeds: DataFrame, passes: int, word_b
     return out
 
 
-def join_filtered(postings: DataFrame, seeds: DataFrame, n_seeds: int) -> DataFrame:
+def join_filtered(postings: DataFrame, seeds: DataFrame, n_seeds: int, how: str = "inner") -> DataFrame:
     """``postings`` joined with ``seeds`` on the k-mer, with few other k-mers shuffled."""
     passes = passes_for(n_seeds)
     parts = filtered_postings(postings, seeds, passes, word_bits_for(-(-n_seeds // passes))) if passes else [postings]
-    return reduce(DataFrame.unionByName, [p.join(seeds, "kmer") for p in parts])
+    return reduce(DataFrame.unionByName, [p.join(seeds, "kmer", how) for p in parts])

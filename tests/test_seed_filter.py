@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seedweave import session
 from seedweave.operators import kmers, matching, scoring, seed_filter
-from seedweave.operators.index import build_index, union_indexes
+from seedweave.operators.index import build_index, prune_index_to_queries, union_indexes
 from seedweave.plans.classify import classify_scores
 from seedweave.sources.index_store import read_index, write_index
 
@@ -146,3 +146,13 @@ def test_a_stage_with_many_rows_is_not_broadcast(spark, tmp_path):
     plan = lambda df: df.join(spark.range(10_000_000), "id")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan(stage) and "BroadcastHashJoin" not in plan(session.judged_by_rows(stage))
     assert "BroadcastHashJoin" in plan(session.judged_by_rows(stage, 1000))
+
+
+def test_pruning_filters_postings_before_their_shuffle(text, monkeypatch):
+    seeds, postings = parts(text)
+    few = prune_index_to_queries(postings, seeds)
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
+    many = prune_index_to_queries(postings, seeds)
+    assert "__words" in many._jdf.queryExecution().optimizedPlan().toString()
+    assert few.columns == many.columns and few.count() > 0
+    assert sorted(few.collect()) == sorted(many.collect())
