@@ -36,7 +36,8 @@ def score_reads(
 
     References are judged by their seed streaks before anything is chained.
     Hits, runs and candidate runs are written stages: all feed several
-    consumers, and the k-mer join behind them must not run twice.
+    consumers, and the k-mer join behind them must not run twice.  What Spark
+    broadcasts of them is judged by their rows, not by their compressed files.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, got {mode!r}")
@@ -58,17 +59,19 @@ def score_reads(
         postings = scan_postings(index.refs, seeds, seed_params.k)
     sources = [(p.postings, p.hot) for p in index.parts] if index.parts and postings is index.postings else [(postings, index.hot)]
     hits = reduce(DataFrame.unionByName, [matching.seed_hits(seeds, p, hot, n_seeds, seed_params.k, broadcast_bytes) for p, hot in sources])
-    hits = write_stage(hits, "hits")
+    hits = judged_by_rows(write_stage(hits, "hits"))
     near = matching.consecutive_seed_filter(hits, seed_params.step)
-    runs = write_stage(matching.chain_runs(near, seed_params.step, adjacency), "runs")
+    runs = judged_by_rows(write_stage(matching.chain_runs(near, seed_params.step, adjacency), "runs"))
     candidates = write_stage(matching.longest_run_filter(runs), "candidates")
+    n_runs = row_count(candidates)
+    candidates = judged_by_rows(candidates, n_runs)
 
     if mode == "fast":
         segments = scoring.keep_unextended(candidates, reads, index.refs)
     else:
         flanked = scoring.fetch_flanks(
             candidates, reads, index.refs, threshold,
-            n_runs=row_count(candidates), stored=index.blocks, broadcast_bytes=broadcast_bytes,
+            n_runs=n_runs, stored=index.blocks, broadcast_bytes=broadcast_bytes,
         )
         segments = scoring.extend_runs(flanked, threshold)
     kept = scoring.segment_filter(segments, threshold)

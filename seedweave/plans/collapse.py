@@ -9,7 +9,7 @@ from seedweave.operators import sequences as seqs
 from seedweave.operators.index import Index, build_index, refs_meta
 from seedweave.params import DEFAULT_THRESHOLD
 from seedweave.plans.classify import score_reads
-from seedweave.session import write_stage
+from seedweave.session import judged_by_rows, write_stage
 
 
 def classify_collapsed(
@@ -30,18 +30,18 @@ def classify_collapsed(
     references of an Index stay as they are, since its k-mers are made already.
     """
     reads = seqs.normalize_seq(reads)
-    same_reads = write_stage(copies.find_copies(reads, strands=strands, rows_per_salt=rows_per_salt), "read-copies")
+    same_reads = judged_by_rows(write_stage(copies.find_copies(reads, strands=strands, rows_per_salt=rows_per_salt), "read-copies"))
     distinct = copies.heads_only(reads, same_reads)
     if isinstance(refs, Index):
         same_refs, index, meta = None, refs, refs.refs
     else:
         meta = refs_meta(seqs.normalize_seq(refs))
-        same_refs = write_stage(copies.find_copies(meta, "ref_id", rows_per_salt=rows_per_salt), "reference-copies")
+        same_refs = judged_by_rows(write_stage(copies.find_copies(meta, "ref_id", rows_per_salt=rows_per_salt), "reference-copies"))
         index = build_index(copies.heads_only(meta, same_refs, "ref_id"), threshold)
-    scores = write_stage(score_reads(distinct, index, threshold, strands=strands, **options), "scores")
+    scores = judged_by_rows(write_stage(score_reads(distinct, index, threshold, strands=strands, **options), "scores"))
     grouped = ranking.score_groups(ranking.best_strand(copies.turned_scores(scores, same_reads)), top_only)
     if same_refs is not None:
         grouped = copies.fan_back(grouped.select(*report.GROUP, "ref_id"), same_refs, "ref_id", "ref_id")
-    members = write_stage(report.with_reference(grouped, meta), "members")
-    answers = write_stage(report.answers(members), "answers")
+    members = judged_by_rows(write_stage(report.with_reference(grouped, meta), "members"))
+    answers = judged_by_rows(write_stage(report.answers(members), "answers"))
     return report.named(copies.fan_back(answers, same_reads), reads)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from seedweave import session
 from seedweave.operators import kmers, matching, scoring, seed_filter
 from seedweave.operators.index import build_index, prune_index_to_queries, union_indexes
+from seedweave.plans import classify, collapse
 from seedweave.plans.classify import classify_scores
 from seedweave.sources.index_store import read_index, write_index
 
@@ -156,3 +157,19 @@ def test_pruning_filters_postings_before_their_shuffle(text, monkeypatch):
     assert "__words" in many._jdf.queryExecution().optimizedPlan().toString()
     assert few.columns == many.columns and few.count() > 0
     assert sorted(few.collect()) == sorted(many.collect())
+
+
+def test_joins_on_written_stages_are_judged_by_rows(text, monkeypatch):
+    reads, refs = text
+    near = collapse.classify_collapsed(reads, refs, 21).count()
+    plans = {}
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return session.write_stage(df, name)
+
+    monkeypatch.setattr(classify, "write_stage", seen)
+    monkeypatch.setattr(collapse, "write_stage", seen)
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
+    assert collapse.classify_collapsed(reads, refs, 21).count() == near > 0
+    assert not [name for name in ("candidates", "scores", "answers") if "BroadcastHashJoin" in plans[name]]
