@@ -30,7 +30,7 @@ def score_groups(scores: DataFrame, top_only: bool = True) -> DataFrame:
     """Adds ``confident`` (the printed score) and ``grp``: 1 for the best score.
 
     The ranking window sees a read's distinct printed scores, of which there
-    are at most a million.
+    are at most a million.  Ranks grow with the reads and are never broadcast.
     """
     rounded = scores.withColumn("confident", printed(F.col("score")))
     if top_only:
@@ -38,7 +38,7 @@ def score_groups(scores: DataFrame, top_only: bool = True) -> DataFrame:
     else:
         w = Window.partitionBy("q").orderBy(F.col("confident").desc())
         ranks = rounded.select("q", "confident").distinct().withColumn("grp", F.row_number().over(w))
-    return rounded.join(ranks, ["q", "confident"])
+    return rounded.join(ranks.hint("merge"), ["q", "confident"])
 
 
 def top_group_only(grouped: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seedweave import session
-from seedweave.operators import kmers, matching, scoring, seed_filter
+from seedweave.operators import kmers, matching, ranking, scoring, seed_filter
 from seedweave.operators.index import build_index, prune_index_to_queries, union_indexes
 from seedweave.plans import classify, collapse
 from seedweave.plans.classify import classify_scores
@@ -173,3 +173,13 @@ def test_joins_on_written_stages_are_judged_by_rows(text, monkeypatch):
     monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
     assert collapse.classify_collapsed(reads, refs, 21).count() == near > 0
     assert not [name for name in ("candidates", "scores", "answers") if "BroadcastHashJoin" in plans[name]]
+
+
+@pytest.mark.parametrize("top_only", [True, False])
+def test_ranks_are_not_broadcast(spark, top_only):
+    scores = spark.createDataFrame([(q, q % 3, (q % 3) / 4) for q in (1, 1, 2)] + [(1, 9, 0.75)], "q BIGINT, ref_id BIGINT, score DOUBLE")
+    grouped = ranking.score_groups(scores, top_only).select("q", "ref_id", "grp")
+    rows = sorted(tuple(r) for r in grouped.collect())
+    # The plan as it ran: Spark may turn to a broadcast on the way.
+    assert "BroadcastHashJoin" not in grouped._jdf.queryExecution().executedPlan().toString()
+    assert rows == [(1, 1, 2)] * (0 if top_only else 2) + [(1, 9, 1), (2, 2, 1)]
