@@ -123,8 +123,8 @@ def dna_seeds(spark, sf_dir):
     return kmers.query_seeds(seqs.both_strands(dna_reads(spark, sf_dir)), THRESHOLD)
 
 
-@stage("dna-postings")
 def dna_postings(spark, sf_dir):
+    # Cut where they are looked up, which reads them once: written they would take several times the references.
     return kmers.ref_kmers(dna_refs(spark, sf_dir), PARAMS.k)
 
 

@@ -56,6 +56,20 @@ def test_few_other_kmers_reach_the_shuffle(text):
     assert side.rindex("BroadcastHashJoin") > side.index("Exchange hashpartitioning(kmer")
 
 
+def test_several_filters_read_the_postings_once(spark, text, monkeypatch, tmp_path):
+    seeds, postings = parts(text)
+    n = seeds.count()
+    plain = as_set(postings.join(seeds, "kmer"))
+    postings.write.parquet(str(tmp_path / "postings"))
+    stored = spark.read.parquet(str(tmp_path / "postings"))
+    monkeypatch.setattr(seed_filter, "SEEDS_PER_FILTER", -(-n // 5))
+    assert seed_filter.passes_for(n) == 5
+    hits = matching.seed_hits(seeds, stored, n_seeds=n, broadcast_bytes=0)
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert len([line for line in plan.splitlines() if "Relation" in line and "rpos" in line]) == 1
+    assert as_set(hits) == plain and hits.count() == len(plain)
+
+
 def test_a_filter_has_a_fixed_size(spark):
     seeds = spark.range(400_000).select(F.md5(F.col("id").cast("string")).alias("kmer"))
     words = seeds.select(seed_filter._word(F.xxhash64("kmer")).alias("w")).distinct()
