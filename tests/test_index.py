@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from seedweave.operators import index as ix
-from seedweave.operators import kmers, matching
+from seedweave.operators import kmers, matching, scan
 from seedweave.params import MatchParams
 from seedweave.plans.classify import classify
+from seedweave.session import write_stage
 from seedweave.sources import index_store
 from seedweave.sources.index_store import read_index, write_index
 
@@ -165,3 +166,60 @@ def test_frequent_kmers_are_dropped_before_the_shuffle(spark):
     kept = ix.suppress_frequent_seeds(postings, 14)
     assert sorted(r["kmer"] for r in kept.collect()) == ["ACG", "CGT", "GTA"]
     assert "LeftAnti" in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_buckets_follow_the_postings(spark, refs, tmp_path, monkeypatch):
+    index = ix.build_index(refs, 31)
+    monkeypatch.setattr(index_store, "ROWS_PER_BUCKET", 100)
+    write_index(index, str(tmp_path / "i"), n_buckets=2, rows_per_salt=10)
+    wanted = -(-index.postings.count() // 100)
+    files = list((tmp_path / "i" / "postings").glob("part-*.parquet"))
+    assert 2 < wanted // 2 < len(files) <= wanted
+    assert postings_of(read_index(spark, str(tmp_path / "i"), 31).postings) == postings_of(index.postings)
+
+
+def test_frequent_kmers_are_counted_in_crowded_slots_only(spark, monkeypatch):
+    words = ["AAA"] * 30 + ["CCC"] * 11 + ["GGG"] * 10 + ["ACG", "CGT", "GTA"] * 4
+    postings = spark.createDataFrame([(w,) for w in words], "kmer STRING")
+    for least in (1, 16):
+        monkeypatch.setattr(index_store, "LEAST_SLOTS", least)
+        hot = index_store.hot_kmers(postings, 10)
+        assert sorted(map(tuple, hot.collect())) == [("AAA", 3), ("CCC", 2)]
+        assert sorted(map(tuple, index_store.hot_kmers(postings, 1_000).collect())) == []
+
+
+def test_a_written_stage_leaves_no_shuffle_files(spark):
+    def shuffled():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {blocks.apply(i).name() for i in range(blocks.size()) if blocks.apply(i).isShuffle()}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, set_before = shuffled(), spark.conf.get(key, None)
+    stage = write_stage(spark.range(1000).repartition(3, "id"), "no-shuffle-files")
+    assert not shuffled() - before
+    assert stage.count() == 1000
+    assert spark.conf.get(key, None) == set_before
+
+
+def test_dealt_kmers_are_those_of_the_references(spark, sequences):
+    texts = ["ACGT" * 30, "", "AC", "N" * 60, "né漢字 ab" * 700, "ACGGTCATTGCAGGATCCATGCAAGC" * 200, "ACGGTCATTGCAGGATC"]
+    meta = ix.refs_meta(sequences(list(enumerate(texts))))
+    plain, dealt = kmers.ref_kmers(meta, 17), scan.dealt_kmers(meta, 17, 5)
+    assert postings_of(dealt) == postings_of(plain)
+    assert dealt.groupBy("kmer").agg(F.count_distinct("home").alias("n")).where("n > 1").count() == 0
+    summary = ix.posting_summary(dealt)
+    # Only stretches move; both aggregations find equal k-mers where they are.
+    plan = summary._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, summary.collect())) == sorted(map(tuple, ix.posting_summary(plain).collect()))
+    assert plan.count("Exchange") == plan.count("Exchange hashpartitioning(home") == 1
+    assert ix.unique_seeds(dealt).first()["n"] == ix.unique_seeds(plain).first()["n"]
+    lists, before = ix.posting_lists_of(meta, 17, 2, 16), ix.posting_lists(plain, 2, 16)
+    assert sorted(map(str, lists.collect())) == sorted(map(str, before.select(*lists.columns).collect()))
+
+
+def test_few_postings_but_the_kept_are_shuffled(spark):
+    words = ["AAA"] * 5 + ["CCC"] * 3 + ["GGG"] * 2 + ["ACG", "CGT", "GTA"]
+    postings = spark.createDataFrame([(0, i, 0, w) for i, w in enumerate(words)], "db_id INT, ref_id BIGINT, rpos INT, kmer STRING")
+    kept = ix.suppress_frequent_seeds(postings, 14)
+    assert sorted(r["kmer"] for r in kept.collect()) == ["ACG", "CGT", "GTA"]
+    assert "__row" in kept._jdf.queryExecution().executedPlan().toString()
