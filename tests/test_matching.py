@@ -110,3 +110,18 @@ def test_scores(sequences, texts, found, n_runs, block):
     assert {(r["q"], r["ref_id"]): (r["sum_sq"], r["considered"], r["covered"], round(r["score"], 6)) for r in got} == brute.scores(
         expected, reads, refs, T
     )
+
+
+def test_references_of_one_seed_are_left_out_early(spark, found, monkeypatch):
+    monkeypatch.setattr(matching, "HITS_PER_PAIR", 0)
+    runs = [matching.chain_runs(matching.consecutive_seed_filter(found, STEP, chained=c), STEP) for c in (False, True)]
+    plain, early = (rows(matching.longest_run_filter(r), RUN) for r in runs)
+    assert plain and early == plain
+
+    # Seed 1 is hit by reference 2 alone, and still lies between the seeds 0 and 2 of reference 0.
+    seeds = {0: (0, 2), 1: (2, 3, 4), 2: (1,)}
+    hits = [(0, "+", 0, ref, n * STEP, n * STEP) for ref, numbers in seeds.items() for n in numbers]
+    frame = spark.createDataFrame(hits, "q BIGINT, strand STRING, db_id INT, ref_id BIGINT, qpos INT, rpos INT")
+    kept = matching.consecutive_seed_filter(frame, STEP, chained=True)
+    assert {r["ref_id"] for r in kept.collect()} == {1}
+    assert matching._of_several_seeds(frame).where("ref_id = 2").count() == 0
